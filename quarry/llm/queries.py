@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import url_filters
+from quarry.llm import packing, url_filters
 from quarry.session import table
 
 QUERIES: dict = {}
@@ -48,3 +48,20 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_filters.RULE_SCHEMA)
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def digest_pieces(docs: DataFrame) -> DataFrame:
+    """Packed pieces with a checksum in place of their ids."""
+    pieces = packing.tokenised_pieces(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.settle(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_pieces(table(spark, sf_dir, "documents"))
