@@ -21,6 +21,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -123,13 +124,52 @@ _REWRITE = re.compile(
     re.IGNORECASE,
 )
 _ODD = re.compile(r"[^\x00-\x7fÀ-ÿ]")
-#: A trace of a disguise: a bracketed or spelled sign with a spelled dot near, a run of spelled digits, a letter among digits.
-_TRACE = re.compile(
-    rf"{_OPEN}\s*(?:{'|'.join(AT_WORDS + DOT_WORDS)}|@|a|\.)\s*{_CLOSE}"
-    rf"|\b(?:{'|'.join(DOT_WORDS)})\b|[_-](?:at|dot)[_-]|\s@|@\s"
-    rf"|\b(?:{_WORDS})[\s.,-]+(?:(?:double|triple)\s+)?(?:{_WORDS})\b|(?:{_WORDS})[\s-]+[0-9]|[0-9][\s-]+(?:{_WORDS})\b|[0-9][ -]?[OolI]{{1,4}}[ -]?[0-9]",
-    re.IGNORECASE,
-)
+_BRACKETED = re.compile(rf"{_OPEN}\s*(?:{'|'.join(AT_WORDS + DOT_WORDS)}|@|a|\.)\s*{_CLOSE}")
+_SPELLED_DOT = re.compile(rf"\b(?:{'|'.join(DOT_WORDS)})\b")
+_LETTER_IN_DIGITS = re.compile(r"[0-9][ -]?[oli]{1,4}[ -]?[0-9]")
+_SPACED_AT = re.compile(r"\s@|@\s")
+_BESIDE = " \t\n\r,.-"
+
+
+@cache
+def _digit_words():
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for word in DIGIT_WORDS:
+        out.add_word(word, len(word))
+    out.make_automaton()
+    return out
+
+
+def _spelled_run(low: str) -> bool:
+    """Whether a spelled digit stands beside another one or beside a digit."""
+    last = -9
+    for at, n in _digit_words().iter(low):
+        start, end = at - n + 1, at + 1
+        if start and low[start - 1].isalnum() or end < len(low) and low[end].isalnum():
+            continue
+        if start - last <= 3 and not low[last:start].strip(_BESIDE):
+            return True
+        last = end
+        if low[max(0, start - 2) : start].strip(_BESIDE)[-1:].isdigit() or low[end : end + 2].strip(_BESIDE)[:1].isdigit():
+            return True
+        if low[max(0, start - 7) : start].strip(_BESIDE) in ("double", "triple"):
+            return True
+    return False
+
+
+def traces(text: str) -> bool:
+    """Whether a text shows a trace of a spelled disguise; cheap tests first, all linear."""
+    low = text.lower()
+    return (
+        any(c in low for c in "[({<") and _BRACKETED.search(low) is not None
+        or any(w in low for w in DOT_WORDS) and _SPELLED_DOT.search(low) is not None
+        or any(w in low for w in ("_at_", "-at-", "_dot_", "-dot-"))
+        or "@" in low and _SPACED_AT.search(low) is not None
+        or _LETTER_IN_DIGITS.search(low) is not None
+        or _spelled_run(low)
+    )
 
 
 class Traced:
@@ -200,12 +240,21 @@ def spelled_signs(text: Traced) -> Traced:
 ENDINGS = {"com", "org", "net", "edu", "gov", "io", "co", "info", "biz", "de", "fr", "es", "uk", "us", "eu", "at", "ch", "it", "nl", "be", "pt", "ca", "au", "jp", "cn", "in", "br", "mx", "ru", "pl", "se", "no", "fi", "dk", "app", "dev", "ai", "me"}
 
 
+#: Words that no address has for a domain, as in "look at the dot".
+ARTICLES = {"the", "a", "an", "this", "that", "each", "every", "my", "your", "our", "his", "her", "their"}
+_SIGN_SHOWN = re.compile(rf"{_OPEN}|@|[_-](?:at|dot)[_-]|\b(?:{'|'.join(DOT_WORDS)})\b", re.IGNORECASE)
+
+
 def _plausible(kind: str, found: str, source: str) -> bool:
-    """Whether a match that is only there after rewriting is more than chance."""
-    if kind == "email":
-        ending = found.rsplit(".", 1)[1].lower()
-        return ending in ENDINGS or bool(re.search(rf"{_OPEN}|@", source)) and 2 <= len(ending) <= 24 and ending.isalpha()
-    return True
+    """Whether a match that is only there after rewriting is more than chance: an address has a known ending, or a sign in
+    brackets and an ending of letters, and more of a disguise than a bare "at"."""
+    if kind != "email":
+        return True
+    domain = found.split("@", 1)[1].lower()
+    first, ending = domain.split(".", 1)[0], domain.rsplit(".", 1)[1]
+    if first in ARTICLES or source.isascii() and not _SIGN_SHOWN.search(source):
+        return False
+    return ending in ENDINGS or re.search(rf"{_OPEN}|@", source) is not None and 2 <= len(ending) <= 24 and ending.isalpha()
 
 
 def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
@@ -214,7 +263,7 @@ def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]
     out: dict[str, list[Span]] = {kind: [] for kind in KINDS}
     plain = plain_characters(Traced(text)) if _ODD.search(text) else Traced(text)
     forms = [plain] if plain.text != text else []
-    if _TRACE.search(plain.text):
+    if traces(plain.text):
         forms.append(spelled_signs(plain))
     for form in forms:
         for kind, spans in base_spans(form.text).items():

@@ -52,13 +52,15 @@ def test_disguises():
         "call plus one four one five five five five zero one zero zero please": "plus one four one five five five five zero one zero zero",
         "ip １９２.168.０.1 ok": "１９２.168.０.1",
         "ip 10 dot 0 dot 0 dot 7 ok": "10 dot 0 dot 0 dot 7",
+        "write to joe_at_example_dot_org.": "joe_at_example_dot_org",
+        "mail bob @ example.com.": "bob @ example.com",
         "card 4lll 1111 1111 1111 x": "4lll 1111 1111 1111",
     }.items():
         assert found in extra(text), (text, extra(text))
 
 
 def test_chance_is_left_alone():
-    for text in ["", "Meet at noon. Dot the i.", "one two three", "look at home at six", "The form of that is at a point of in", "at at at dot dot", "e. at 10.5 or 3.14.15"]:
+    for text in ["", "Meet at noon. Dot the i.", "one two three", "look at home at six", "The form of that is at a point of in", "at at at dot dot", "look at the dot com bubble", "read more at example.com today", "a (b) {c} <d>", "e. at 10.5 or 3.14.15"]:
         assert extra(text) == []
 
 
