@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import langid, licenses, packing, pii, quality, simhash, url_filters
+from quarry.llm import decontaminate, langid, licenses, packing, pii, quality, simhash, url_filters
 from quarry.session import table
 
 QUERIES: dict = {}
@@ -93,3 +93,8 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_licenses")
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
