@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from quarry.session import ship
 
@@ -34,4 +36,22 @@ def text_batches(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) ->
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
+def interval_of(value: Column, starts: list, key=F.lit) -> Column:
+    """How many of the ascending starts are at or below the value, by binary search in a literal array."""
+    if not starts:
+        return F.lit(0)
+    known = F.array(*map(key, starts))
+    steps = [1 << b for b in reversed(range(len(starts).bit_length()))]
+    return F.aggregate(
+        F.array(*map(F.lit, steps)),
+        F.lit(0),
+        lambda at, step: F.when((at + step <= len(starts)) & (F.get(known, at + step - 1) <= value), at + step).otherwise(at),
+    )
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once per row, also where use mentions it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 ship(__name__)

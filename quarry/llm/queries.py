@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, langid, licenses, packing, pii, quality, simhash, url_filters
+from quarry.llm import decontaminate, fingerprints, langid, licenses, packing, pii, quality, simhash, url_filters
 from quarry.session import table
 
 QUERIES: dict = {}
@@ -98,3 +98,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_decontaminate")
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_fingerprints")
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256",
+        fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )

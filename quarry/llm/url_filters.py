@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import interval_of
 from quarry.session import default_parallelism
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,19 +94,6 @@ def boundaries(rules: DataFrame) -> DataFrame:
     ).select("edge.*")
 
 
-def _block_of(key: Column, splitters: list[str]) -> Column:
-    """Number of splitters at or before the key, by binary search in a literal array."""
-    if not splitters:
-        return F.lit(0)
-    known = F.array(*map(F.lit, splitters))
-    steps = [1 << b for b in reversed(range(len(splitters).bit_length()))]
-    return F.aggregate(
-        F.array(*map(F.lit, steps)),
-        F.lit(0),
-        lambda at, step: F.when((at + step <= len(splitters)) & (F.get(known, at + step - 1) <= key), at + step).otherwise(at),
-    )
-
-
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
     """One row per row of pages: the columns in keep, host, path, rule, verdict."""
     spark = pages.sparkSession
@@ -119,7 +107,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple
     if blocks > 1:
         dealt = edges.select("key").repartitionByRange(blocks, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key"))
         splitters = sorted(r.key for r in dealt.collect())[1:]
-    block = _block_of(F.col("key"), splitters)
+    block = interval_of(F.col("key"), splitters)
     least = 4 * default_parallelism(spark)
     salts = [least]
     if splitters:
