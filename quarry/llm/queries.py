@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, fingerprints, langid, licenses, packing, pii, quality, simhash, url_filters
+from quarry.llm import decontaminate, fingerprints, langid, licenses, line_dedup, packing, pii, quality, simhash, url_filters
 from quarry.session import table
 
 QUERIES: dict = {}
@@ -109,3 +109,8 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         "near_edited", "near_next",
     )
+
+
+@query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
