@@ -1,19 +1,61 @@
-"""The corpus pipeline: stages over documents, each calling one operator of quarry.llm."""
+"""The corpus pipeline: stages over documents, each calling one operator of quarry.llm.
+
+    quality       rows that the factorisation machine rejects go
+    line_dedup    lines that repeat an earlier one (equal or one edit away) go, and documents of which nothing is left
+    near_dedup    one document of each SimHash component stays
+    decontaminate documents that hold a benchmark passage go
+    pack          what is left becomes pieces of 1024-token sequences
+
+Every stage works on all that its predecessor kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import decontaminate, line_dedup, packing, quality, simhash
+from quarry.llm.queries import tokenizer_path
+from quarry.session import cut, discard, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.kept(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.cleaned(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, ids_crc32."""
+    return packing.pack(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids"))
 
-from quarry.session import cut, table
 
-STAGES: list = []
-#: The stages have learned models and near-duplicate groups, which SQL cannot express; tests hold them against brute force.
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("pack", packing_stage),
+]
+#: Learned scores, edit distance joins and components over all documents are beyond SQL; a test holds every stage against
+#: a brute-force version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages in order to documents; each stage reads what its predecessor wrote."""
+    """Apply the stages in order to documents; each reads the Parquet table that its predecessor wrote."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_batches
+from quarry.llm.common import text_slices
 from quarry.operators.components import connected_components
 from quarry.session import cut, discard, ship
 
@@ -66,14 +66,17 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in text_batches(batches):
-        prints = np.array([fingerprint(t) for t in texts], "<u8").view("<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+    for batch in batches:
+        for part in text_slices(batch, 1):
+            prints = np.array([fingerprint(t) for t in part.column(1).to_pylist()], "<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.int64()), part.column(2)], names=["doc_id", "fp", "h"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) per row of docs; fp is the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, fp, h) per row of docs: the fingerprint as a signed long, and the text's hash, which tells apart rows of
+    one doc_id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, fp long, h long")
 
 
 def covering_patterns(width: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -224,16 +227,34 @@ def links(distinct_prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "u long, v long")
 
 
+def _rooted(prints: DataFrame, first) -> DataFrame:
+    """(fp, root, first) per distinct fingerprint: its component, and an aggregate of its rows."""
+    distinct = cut(prints.groupBy("fp").agg(first.alias("first")))
+    found = connected_components(links(distinct))
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), component_id."""
-    prints = cut(fingerprints(docs))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = connected_components(links(distinct))
-    roots = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    prints = cut(fingerprints(docs).drop("h"))
+    roots = cut(_rooted(prints, F.min("doc_id")))
     smallest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = cut(roots.join(smallest, "root").select("fp", "component_id"))
-    discard(distinct)
+    discard(roots)
     return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component, in its own columns: that of the smallest doc_id (null ones come last), then of
+    the smallest hash of the text; of equal rows one."""
+    prints = cut(fingerprints(docs))
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("h"))
+    chosen = cut(_rooted(prints, F.min(rank)).groupBy("root").agg(F.min("first").alias("first")).select("first.*"))
+    discard(prints)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.select(
+        F.struct(*names).alias("row"), F.col("doc_id").isNull().alias("unnamed"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("h")
+    )
+    return own.join(chosen, ["unnamed", "id", "h"], "left_semi").dropDuplicates(["unnamed", "id", "h"]).select("row.*")
+
 ship(__name__)
