@@ -1,4 +1,4 @@
-"""All registered queries and their oracles, gathered from the query modules of this folder."""
+"""The registry that the query modules of this folder fill; catalog imports them all."""
 
 from __future__ import annotations
 
