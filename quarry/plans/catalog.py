@@ -1,4 +1,4 @@
 """All registered queries and their oracles."""
 
-from quarry.plans import overlap  # noqa: F401
+from quarry.plans import dedup, overlap  # noqa: F401
 from quarry.plans.registry import ORACLES, QUERIES  # noqa: F401
