@@ -100,3 +100,17 @@ def pass_counts(rows: DataFrame, column: str, wanted: tuple[int, ...] = (0, 1, 2
     """Rows whose number of correct samples is one of the wanted; a value outside 0 to 8 is an error."""
     checked = F.when(F.col(column).between(0, 8), F.col(column)).otherwise(F.raise_error(F.lit("pass count outside 0 to 8")))
     return rows.filter(checked.isin(*wanted))
+
+
+def preferred_first(rows: DataFrame, preferred: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows: those whose key is preferred, then others by hash rank (a top-k over both, so no full sort)."""
+    wanted = preferred.select(key).distinct().withColumn("_wanted", F.lit(0))
+    told = rows.join(wanted, key, "left").withColumn("_rank", rank_key(seed, F.col(key).cast("string")))
+    return told.orderBy(F.coalesce("_wanted", F.lit(1)), "_rank").limit(n).drop("_wanted", "_rank")
+
+
+def longest_and_fill(rows: DataFrame, dataset: str, identifier: str, length: Column, per: int, seed: int) -> DataFrame:
+    """For each dataset its longest row (ties by id) and others by hash rank, per rows in all."""
+    longest_row = rows.groupBy(dataset).agg(F.max_by(identifier, F.struct(length.alias("l"), (-F.col(identifier)).alias("i"))).alias(identifier))
+    others = rows.join(longest_row, [dataset, identifier], "left_anti")
+    return rows.join(longest_row, [dataset, identifier], "left_semi").unionByName(ranked(others, dataset, F.col(identifier), per - 1, seed))

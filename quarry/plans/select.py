@@ -94,3 +94,14 @@ def minibatch_totals(spark, sf_dir):
 def pass_count_selection(spark, sf_dir):
     own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.least(F.count_if(F.col("l_discount") > 0.045), F.lit(8)).alias("num_correct"))
     return select.pass_counts(own, "num_correct")
+
+
+@query("preferred_first", f"""SELECT doc_id FROM documents LEFT JOIN (SELECT DISTINCT doc_id, 0 AS w FROM labels WHERE toxic = 1) USING (doc_id) ORDER BY coalesce(w, 1), sha256('[42, "' || doc_id::VARCHAR || '"]') LIMIT 100""")
+def preferred_first(spark, sf_dir):
+    return select.preferred_first(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id", 100, 42)
+
+
+@query("longest_and_fill", f"""WITH l AS (SELECT lang, arg_max(doc_id, (length(text), -doc_id)) AS doc_id FROM documents GROUP BY lang)
+    SELECT lang, doc_id FROM l UNION ALL SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {RANK.format('lang', 'doc_id')}, doc_id::VARCHAR) AS n FROM documents WHERE (lang, doc_id) NOT IN (SELECT lang, doc_id FROM l)) WHERE n <= 4""")
+def longest_and_fill(spark, sf_dir):
+    return select.longest_and_fill(table(spark, sf_dir, "documents"), "lang", "doc_id", F.length("text"), 5, 42).select("lang", "doc_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,28 +43,34 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row per line that is not blank: the parsed record r (with the line itself in CORRUPT where it does not parse),
+    its file, and its place in the file."""
+    whole = T.StructType.fromDDL(schema).add(CORRUPT, T.StringType())
+    text = spark.read.text(path).filter(F.trim("value") != "")
+    record = F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return text.select(record.alias("r"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, repair_tail: bool = False) -> DataFrame:
     """Rows of JSON line files. A corrupt line is an error, except (with repair_tail) one at the end of its file: a writer
-    was cut off there. Files are told apart by name, and lines by their place, so a file may be read in parts."""
-    whole = T.StructType.fromDDL(schema).add(CORRUPT, T.StringType())
-    rows = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    place = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"))
-    bad = place.filter(F.col(CORRUPT).isNotNull()).select("_file", "_start", "_line")
+    was cut off there. Lines are told apart by their place, so a file may be read in parts."""
+    rows = _parsed(spark, path, schema)
+    bad = rows.filter(F.col(f"r.{CORRUPT}").isNotNull()).select("file", "start", "line")
     if repair_tail:
-        last = place.groupBy("_file").agg(F.max(F.struct("_start", "_line")).alias("last")).select("_file", "last._start", "last._line")
-        bad = bad.join(last, ["_file", "_start", "_line"], "left_anti")
-    corrupt = bad.count()  # the column is read together with the others, as a corrupt-only query is not allowed
-    if corrupt:
+        last = rows.groupBy("file").agg(F.max(F.struct("start", "line")).alias("last")).select("file", "last.start", "last.line")
+        bad = bad.join(last, ["file", "start", "line"], "left_anti")
+    if corrupt := bad.count():
         raise ValueError(f"{corrupt} corrupt lines before the end of a file")
-    return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return rows.filter(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT)
 
 
 def recovered(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and a count of kept and corrupt lines by file."""
-    whole = T.StructType.fromDDL(schema).add(CORRUPT, T.StringType())
-    rows = spark.read.schema(whole).option("columnNameOfCorruptRecord", CORRUPT).json(path).withColumn("_file", F.col("_metadata.file_path"))
-    counts = rows.groupBy("_file").agg(F.count_if(F.col(CORRUPT).isNull()).alias("kept"), F.count_if(F.col(CORRUPT).isNotNull()).alias("corrupt"))
-    return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file"), counts
+    rows = _parsed(spark, path, schema)
+    corrupt = F.col(f"r.{CORRUPT}").isNotNull()
+    counts = rows.groupBy("file").agg(F.count_if(~corrupt).alias("kept"), F.count_if(corrupt).alias("corrupt"))
+    return rows.filter(~corrupt).select("r.*").drop(CORRUPT), counts
 
 
 def discovered(spark: SparkSession, root: str, pattern: str, most_bytes: int) -> DataFrame:
@@ -125,3 +132,16 @@ def markdown(rows: DataFrame, most: int = 200) -> str:
         raise ValueError(f"more than {most} rows")
     cell = lambda v: "" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     return "\n".join([f"| {' | '.join(rows.columns)} |", f"|{' --- |' * len(rows.columns)}", *[f"| {' | '.join(map(cell, r))} |" for r in found]])
+
+
+def shard_names(names: list[str]) -> list[str]:
+    """The shards of one train split in order; a missing, repeated or foreign one is an error. Names come from a listing."""
+    found = {}
+    for name in names:
+        if not (m := re.fullmatch(r"(?:.*/)?train-(\d{5})-of-(\d{5})\.parquet", name)) or (int(m[1]), int(m[2])) in found:
+            raise ValueError(f"not a shard of the split: {name}")
+        found[int(m[1]), int(m[2])] = name
+    totals = {t for _, t in found}
+    if len(totals) != 1 or sorted(i for i, _ in found) != list(range(totals.pop())):
+        raise ValueError("the shards are not complete")
+    return [found[k] for k in sorted(found)]
