@@ -17,7 +17,7 @@ pairs are never formed beyond GROUP lines. Inside a group each line asks whether
 function, which yields one row for each line, not for each pair.
 
 Scale. The texts are shuffled once, to take lines out; the index holds hashes and places. The lines that share a key get
-their text back by a join on the place (broadcast only below BROADCAST_ROWS of 16 bytes, counted first). Each level is cut
+their text back by a join on the place (broadcast only below BROADCAST_ROWS of 20 bytes, counted first). Each level is cut
 as a table in the shared scratch folder.
 
 Hashes: a line's identity is two 64-bit hashes with the length; a key is two 64-bit hashes with length and segment.
@@ -39,7 +39,7 @@ from quarry.session import cut, discard
 THRESHOLD, MIN_CHARS = 1, 16
 #: Parts that a segment is divided into, and lines under one key that are compared with each other.
 DIVISION, GROUP = 8, 48
-#: Rows of two longs that may be broadcast (after counting).
+#: Places (20 bytes each) that may be broadcast, after counting.
 BROADCAST_ROWS = 500_000
 _LEAST = -(1 << 63)
 

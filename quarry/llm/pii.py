@@ -120,15 +120,15 @@ _REWRITE = re.compile(
     rf"|(?P<dot>\s*{_OPEN}\s*(?:{'|'.join(DOT_WORDS)}|\.)\s*{_CLOSE}\s*|\s+(?:{'|'.join(DOT_WORDS)})\s+|(?<=\w)[_-](?:dot|DOT)[_-](?=\w))"
     rf"|(?P<plus>\b(?:{'|'.join(PLUS_WORDS)})\s+(?=(?:{_WORDS}|[0-9])))"
     rf"|(?P<digit>\b(?:(?P<times>double|triple)\s+)?(?P<word>{_WORDS})\b)"
-    r"|(?P<letter>(?<=[0-9])[OolI]{1,4}(?=[ -]?[0-9])|(?<=[0-9][ -])[OolI]{1,4}(?=[0-9]))",
+    r"|(?P<letter>(?<=[0-9])[OolI]{1,4}(?=[ -]?[0-9])|(?<=[0-9][ -])[OolI]{1,4}(?=[0-9])|(?<=[0-9][ -])[OolI]{2,4}(?![A-Za-z]))",
     re.IGNORECASE,
 )
 _ODD = re.compile(r"[^\x00-\x7fÀ-ÿ]")
 _BRACKETED = re.compile(rf"{_OPEN}\s*(?:{'|'.join(AT_WORDS + DOT_WORDS)}|@|a|\.)\s*{_CLOSE}")
 _SPELLED_DOT = re.compile(rf"\b(?:{'|'.join(DOT_WORDS)})\b")
-_LETTER_IN_DIGITS = re.compile(r"[0-9][ -]?[oli]{1,4}[ -]?[0-9]")
+_LETTER_IN_DIGITS = re.compile(r"[0-9][ -]?[oli]{1,4}[ -]?[0-9]|[0-9][ -][oli]{2,4}\b")
 _SPACED_AT = re.compile(r"\s@|@\s")
-_BESIDE = " \t\n\r,.-"
+_BESIDE = " \t\n\r,.-()"
 
 
 @cache
@@ -152,7 +152,7 @@ def _spelled_run(low: str) -> bool:
         if start - last <= 3 and not low[last:start].strip(_BESIDE):
             return True
         last = end
-        if low[max(0, start - 2) : start].strip(_BESIDE)[-1:].isdigit() or low[end : end + 2].strip(_BESIDE)[:1].isdigit():
+        if low[max(0, start - 3) : start].strip(_BESIDE)[-1:].isdigit() or low[end : end + 3].strip(_BESIDE)[:1].isdigit():
             return True
         if low[max(0, start - 7) : start].strip(_BESIDE) in ("double", "triple"):
             return True

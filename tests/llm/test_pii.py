@@ -54,6 +54,8 @@ def test_disguises():
         "ip 10 dot 0 dot 0 dot 7 ok": "10 dot 0 dot 0 dot 7",
         "write to joe_at_example_dot_org.": "joe_at_example_dot_org",
         "mail bob @ example.com.": "bob @ example.com",
+        "ring plus one (784) 555-9263 now": "plus one (784) 555-9263",
+        "ring +1 4I5 555 OlOO now": "+1 4I5 555 OlOO",
         "card 4lll 1111 1111 1111 x": "4lll 1111 1111 1111",
     }.items():
         assert found in extra(text), (text, extra(text))
