@@ -31,6 +31,19 @@ EXCLUSIONS = {
 }
 
 
+#: Signs of other domains, positive evidence of mathematics, and sources that are allowed.
+OTHER_DOMAINS = r"physics|/phy\b|chem|biology|astronomy|science|puzzle|crossword|code|proof|bool"
+MATH_EVIDENCE = "mathematics|algebra|geometry|number theory|calculus|combinatorics|probability|statistics"
+MATH_SOURCES = ("aime", "numinamath", "omni-math", "openaimath", "/math", "stats_qual", "qfq/quant")
+
+#: What makes a problem's answer hard to verify.
+PROOF = r"(?i)\b(prove|show that|demonstrate|justify)\b"
+OPTION = r"(?:^|[^\p{L}\p{N}_])[A-E][.)]"
+PART = r"\([a-d]\)|(?m:^\s*[1-9][.)]\s)"
+TASK = r"(?i)\b(?:find|calculate|determine|compute|evaluate)\b"
+TWO_TASKS = r"(?i)\b(?:find|calculate|determine|compute)\b[^.?!\n]{0,100}\band\b"
+
+
 def reasons(*rules: tuple[str, Column]) -> Column:
     """The names of the rules that hold, in order; a null condition does not hold."""
     return F.filter(F.array(*[F.when(condition, F.lit(name)) for name, condition in rules]), lambda r: r.isNotNull())
@@ -95,9 +108,9 @@ def many(text: Column, pattern: str, at_least: int) -> Column:
 def math_domain(cot_type: Column, source: Column, labels: Column) -> Column:
     """Whether a row of the mixed-domain source is mathematics: by type, without a sign of another domain, and from an
     allowed source (one source needs positive evidence in its labels)."""
-    other = F.lower(F.concat_ws(" ", source, labels)).rlike(r"physics|/phy\b|chem|biology|astronomy|science|puzzle|crossword|code|proof|bool")
-    shown = F.lower(labels).rlike("mathematics|algebra|geometry|number theory|calculus|combinatorics|probability|statistics")
-    allowed = F.exists(F.array(*map(F.lit, ("aime", "numinamath", "omni-math", "openaimath", "/math", "stats_qual", "qfq/quant"))), lambda x: F.contains(F.lower(source), x))
+    other = F.lower(F.concat_ws(" ", source, labels)).rlike(OTHER_DOMAINS)
+    shown = F.lower(labels).rlike(MATH_EVIDENCE)
+    allowed = F.exists(F.array(*map(F.lit, MATH_SOURCES)), lambda x: F.contains(F.lower(source), x))
     return (F.lower(cot_type) == "math") & ~other & F.when(F.contains(F.lower(source), F.lit("theoremqa")), shown).otherwise(allowed)
 
 
@@ -106,15 +119,14 @@ def verifiability_rules(problem: Column, gold: Column, labels: Column, source: C
     whether the dataset calls it valid and it is of the wanted domain (null counts as yes)."""
     text = F.coalesce(problem, F.lit(""))
     proof_label = F.contains(labels, F.lit("proof"))
-    letters = F.regexp_count(text, F.lit(r"(?:^|[^\p{L}\p{N}_])[A-E][.)]"))
-    parts = many(text, r"\([a-d]\)|(?m:^\s*[1-9][.)]\s)", 2) | many(text, r"(?i)\b(?:find|calculate|determine|compute|evaluate)\b", 2)
-    parts = parts | text.rlike(r"(?i)\b(?:find|calculate|determine|compute)\b[^.?!\n]{0,100}\band\b") | many(text, r"\?", 2)
+    letters = F.regexp_count(text, F.lit(OPTION))
+    parts = many(text, PART, 2) | many(text, TASK, 2) | text.rlike(TWO_TASKS) | many(text, r"\?", 2)
     return [
         ("nonmath_or_unconfirmed_domain", ~domain),
         ("excluded_sub_source", F.lower(source).isin(*excluded)),
         ("dataset_invalid", ~valid),
         ("proof_label", proof_label),
-        ("proof_heuristic", ~proof_label & text.rlike(r"(?i)\b(prove|show that|demonstrate|justify)\b")),
+        ("proof_heuristic", ~proof_label & text.rlike(PROOF)),
         ("multiple_choice", labels.rlike("multiple.choice|choice") | (letters >= 2)),
         ("multipart_heuristic", labels.rlike("multi.part|multiple.answer") | parts),
         ("empty_problem", normal_lexical(text) == ""),

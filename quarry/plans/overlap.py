@@ -87,6 +87,14 @@ def decontaminate_lowest_removed(spark, sf_dir):
     return told.orderBy("best_coverage", "id").limit(10).select("id", F.round("best_coverage", 6).alias("best_coverage"))
 
 
-@query("reference_matches")
+#: The same over lexical forms (no LaTeX occurs in these tables), with number variants.
+LEXICAL = r"""string_split(array_to_string(regexp_extract_all(regexp_replace(lower(coalesce({0}, '')), '\$', ' ', 'g'), '([\p{{L}}\p{{Nl}}\p{{No}}]+|\p{{Nd}}+)'), ' '), ' ')"""
+TEMPLATE = r"list_transform({0}, lambda t: CASE WHEN regexp_full_match(t, '\p{{Nd}}+') THEN 'NUM' ELSE t END)"
+
+
+@query("reference_matches", f"""WITH {grams_sql(8).replace(TOKENS.format("text"), LEXICAL.format("text"))},
+    variants AS (SELECT DISTINCT id, eval_set, item_id, true AS number_variant FROM docs JOIN own ON {TEMPLATE.format("docs.w")} = {TEMPLATE.format("own.w")} AND docs.w <> own.w WHERE len(list_filter(own.w, lambda t: regexp_matches(t, '\\p{{Nd}}'))) > 0)
+    SELECT coalesce(s.id, v.id) AS id, coalesce(s.eval_set, v.eval_set) AS eval_set, coalesce(s.item_id, v.item_id) AS item_id, round(coalesce(coverage, 0), 6) AS coverage, coalesce(number_variant, false) AS number_variant
+    FROM scored s FULL JOIN variants v ON s.id = v.id AND s.eval_set = v.eval_set AND s.item_id = v.item_id""")
 def reference_matches(spark, sf_dir):
-    return overlap.reference_matches(rows(spark, sf_dir), items(spark, sf_dir))
+    return overlap.reference_matches(rows(spark, sf_dir), items(spark, sf_dir)).withColumn("coverage", F.round("coverage", 6))
