@@ -14,6 +14,18 @@ from quarry.session import ship
 SLICE_BYTES = 8_000_000
 
 
+class Kept(dict):
+    """What a worker builds once and keeps (automata, tables). It travels empty, so tasks stay small."""
+
+    def __reduce__(self):
+        return Kept, ()
+
+    def once(self, name: str, make):
+        if name not in self:
+            self[name] = make()
+        return self[name]
+
+
 def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about so many bytes; a longer text is a run of its own."""
     import pyarrow.compute as pc

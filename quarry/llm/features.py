@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from quarry.llm.common import Kept
 from quarry.session import ship
 
 _MASK = (1 << 64) - 1
@@ -20,13 +21,11 @@ def _powers(base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_UP: list[np.ndarray] = []
+_KEPT = Kept()
 
 
-def _tables() -> list[np.ndarray]:
-    if not _UP:
-        _UP.extend([_powers(_BASE), _powers(_INVERSE)])
-    return _UP
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    return _KEPT.once("powers", lambda: (_powers(_BASE), _powers(_INVERSE)))
 
 
 def chunks(data: bytes, stop: bytes = b" \n") -> list[bytes]:

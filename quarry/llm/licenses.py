@@ -18,14 +18,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_batches
+from quarry.llm.common import Kept, text_batches
 from quarry.session import ship
 
 #: Base phrases and their labels.
@@ -348,14 +347,19 @@ class Rule:
 _SHORT = {" ?": r"\s?", " ": r"[\s*#/;,-]{1,20}", "~": r"[^\n]{0,60}?"}
 
 
-@cache
+_KEPT = Kept()
+
+
 def rules() -> list[Rule]:
-    return [Rule(i, line) for i, line in enumerate(RULES.strip().splitlines())]
+    return _KEPT.once("rules", lambda: [Rule(i, line) for i, line in enumerate(RULES.strip().splitlines())])
 
 
-@cache
 def keywords():
     """One automaton over the words of all keywords; a rule runs where the longest word of its keyword occurs."""
+    return _KEPT.once("keywords", _automaton)
+
+
+def _automaton():
     import ahocorasick
 
     gates: dict[str, list[int]] = {}

@@ -21,13 +21,12 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_batches
+from quarry.llm.common import Kept, text_batches
 from quarry.session import ship
 
 KINDS = ("email", "ip", "card", "phone")
@@ -131,7 +130,9 @@ _SPACED_AT = re.compile(r"\s@|@\s")
 _BESIDE = " \t\n\r,.-()"
 
 
-@cache
+_KEPT = Kept()
+
+
 def _digit_words():
     import ahocorasick
 
@@ -145,7 +146,7 @@ def _digit_words():
 def _spelled_run(low: str) -> bool:
     """Whether a spelled digit stands beside another one or beside a digit."""
     last = -9
-    for at, n in _digit_words().iter(low):
+    for at, n in _KEPT.once("digits", _digit_words).iter(low):
         start, end = at - n + 1, at + 1
         if start and low[start - 1].isalnum() or end < len(low) and low[end].isalnum():
             continue
