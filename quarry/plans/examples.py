@@ -242,7 +242,7 @@ def worker_assignment(spark, sf_dir):
     return assigned(table(spark, sf_dir, "documents"), "doc_id", 8).groupBy("worker").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
 
 
-@query("step_log_profile", """SELECT event_type AS log, count(*) AS records, 0 AS malformed, min(event_id) AS first_step, max(event_id) AS last_step, 0 AS repeated_steps, 'm.k,step' AS fields FROM events GROUP BY 1""")
+@query("step_log_profile", """SELECT event_type AS log, count(*) AS records, 0::BIGINT AS malformed, min(event_id) AS first_step, max(event_id) AS last_step, 0::BIGINT AS repeated_steps, 'm.k,step' AS fields FROM events GROUP BY 1""")
 def step_log_profile(spark, sf_dir):
     from quarry.sources.tables import step_log_profile as profile
 

@@ -151,7 +151,7 @@ def group_relative_rewards(spark, sf_dir):
 
 
 @query("benchmark_counts", """WITH want(lang, expected) AS (VALUES ('en', 620), ('de', 129), ('it', 5))
-    SELECT coalesce(w.lang, h.lang) AS lang, coalesce(expected, -1) AS expected, coalesce(n, 0) AS n, expected IS NOT DISTINCT FROM coalesce(n, 0) AS ok FROM want w FULL JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) h ON w.lang = h.lang""")
+    SELECT coalesce(w.lang, h.lang) AS lang, coalesce(expected, -1)::BIGINT AS expected, coalesce(n, 0) AS n, expected IS NOT DISTINCT FROM coalesce(n, 0) AS ok FROM want w FULL JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) h ON w.lang = h.lang""")
 def benchmark_counts(spark, sf_dir):
     return metrics.expected_counts(table(spark, sf_dir, "documents"), "lang", {"en": 620, "de": 129, "it": 5}).withColumn("expected", F.coalesce("expected", F.lit(-1)))
 
