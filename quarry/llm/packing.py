@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,8 @@ from quarry.session import cut, ship
 CAPACITY = 1024
 #: Binary digits of a document's rest that become pieces of their own: down to capacity / 32.
 DIGITS = 5
-#: Words whose ids a worker keeps at most; the cache starts anew beyond that.
-CACHED_WORDS = 500_000
+#: Words in one generation of a worker's cache; it holds two.
+CACHED_WORDS = 400_000
 #: Workers whose unfilled bins are filled up together in the first round.
 GROUP = 256
 #: Bits of a sequence id: round, worker or group, class, bin.
@@ -45,19 +47,20 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, kin
 #: Letters of the fast path; every other character sends its whole text to the tokenizer itself.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTERS}]*\Z")
-_WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_WORD = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 
 
 class _WordIds(dict):
-    """Ids of a word as little-endian unsigned 32-bit numbers, kept for the words seen."""
+    """Ids of a word as little-endian unsigned 32-bit numbers, kept for the words of the present and the last generation."""
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.last = encode, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED_WORDS:
+            self.last = dict(self)
             self.clear()
-        ids = self[word] = self.encode(word)
+        ids = self[word] = self.last.get(word) or self.encode(word)
         return ids
 
 
@@ -100,7 +103,9 @@ def _word_encoder(tokenizer_path: str):
     for t in model.get("added_tokens", []):
         ranks.pop(t["content"].encode(), None)
     core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    return lambda word: core.encode_to_numpy(word, disallowed_special=()).astype("<u4", copy=False).tobytes()
+    if array("I").itemsize != 4 or sys.byteorder != "little":
+        return lambda word: np.array(core.encode_ordinary(word), "<u4").tobytes()
+    return lambda word: array("I", core.encode_ordinary(word)).tobytes()
 
 
 def piece_lengths(tokens: int, capacity: int = CAPACITY) -> list[int]:
