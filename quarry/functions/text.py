@@ -45,14 +45,15 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def grams(tokens: Column, n: int) -> Column:
-    """Distinct n-grams of an array of tokens, space-joined; none where the array is shorter."""
+def grams(tokens: Column, n: int, distinct: bool = True) -> Column:
+    """n-grams of an array of tokens, space-joined; none where the array is shorter."""
 
     def made(own: Column) -> Column:
         starts = F.slice(own, 1, F.greatest(F.size(own) - (n - 1), F.lit(0)))
         return F.transform(starts, lambda _, i: F.array_join(F.slice(own, i + 1, n), " "))
 
-    return F.array_distinct(bound(tokens, made))
+    out = bound(tokens, made)
+    return F.array_distinct(out) if distinct else out
 
 
 def shingles(normal: Column, n: int) -> Column:

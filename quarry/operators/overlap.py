@@ -48,7 +48,7 @@ def matches(rows: DataFrame, items: DataFrame, n: int = N, normal=T.normal_v2) -
     checked = items.withColumn("normal", F.when(F.col("normal") != "", F.col("normal")).otherwise(F.raise_error(F.lit("an evaluation item has an empty normal form"))))
     own = checked.select("eval_set", "item_id", "normal", T.grams(T.words(F.col("normal")), n).alias("grams")).withColumn("total", F.size("grams").cast("long"))
     rows = rows.select("id", normal(F.coalesce("text", F.lit(""))).alias("normal"))
-    left = rows.select("id", F.explode(T.grams(T.words(F.col("normal")), n)).alias("gram"))
+    left = rows.select("id", F.explode(T.grams(T.words(F.col("normal")), n, distinct=False)).alias("gram"))  # distinct only after the join
     right = own.select("eval_set", "item_id", "total", F.explode("grams").alias("gram"))
     shared = left.join(right, "gram")
     scored = shared.groupBy("id", "eval_set", "item_id", "total").agg(F.count_distinct("gram").alias("matched"))
