@@ -10,7 +10,8 @@ of a fixed number of random codes by least distance. Features: square roots of t
 the lower-cased text, ASCII signs and digits blanked, in 2^12 hash buckets; the whole text counts.
 
 Training: documents with a language whose crc32(doc_id as text) mod 5 is not 0, about PER_LANGUAGE of each of the
-MOST_LANGUAGES most frequent languages, chosen by the hash of their id. The driver gets their features only, in half precision, and computes in single precision.
+MOST_LANGUAGES most frequent languages (less where that would exceed MOST_ROWS in all: then the same number of each),
+chosen by the hash of their id. Languages beyond those are never predicted. The driver gets their features only, in half precision, and computes in single precision.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text where there is nothing to
 learn from; with a single language every text with a letter is of it, with score 1; ties go to the first by name; repeated
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import text_batches
@@ -140,16 +141,17 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def trained(docs: DataFrame) -> Decoder:
-    """A decoder fitted to a bounded sample of the documents that are not held out."""
+    """A decoder fitted to a sample of the documents that are not held out, bounded for each language by itself."""
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return fit(np.zeros((0, WIDTH), np.float32), [])
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, PER_LANGUAGE / r["count"]))])
+    each = min(PER_LANGUAGE, MOST_ROWS // len(counts))
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, each / r["count"]))])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
     chosen = usable.withColumn("place", place).filter(F.col("place") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-    ids = chosen.select("doc_id", "lang", "place").orderBy("place", "doc_id").limit(MOST_ROWS)
-    sample = chosen.select("lang", "doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", F.xxhash64("text")))
+    sample = chosen.withColumn("rank", rank).filter(F.col("rank") <= each)
     rows = sample.select("lang", "text").mapInArrow(_featured, "lang string, x binary").collect()
     rows.sort(key=lambda r: (r.lang, r.x))
     x = np.zeros((len(rows), WIDTH), np.float32)

@@ -101,3 +101,16 @@ def test_language_defined_cases(spark):
     nothing = langid.trained(docs.limit(0))
     assert {r.lang_pred for r in langid.identified(docs, nothing).collect()} == {"und"}
     assert langid.identified(docs.limit(0), nothing).count() == 0
+
+
+def test_rare_languages_keep_their_rows(spark, monkeypatch):
+    """More languages than PER_LANGUAGE * MOST_ROWS has room for, of unequal size: each keeps its share of the bound."""
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 30)
+    monkeypatch.setattr(langid, "MOST_ROWS", 400)
+    sizes = {f"l{i:02d}": 1500 if i < 10 else 40 for i in range(20)}
+    names = [n for n, size in sizes.items() for _ in range(size)]
+    docs = spark.createDataFrame([(i, f"words of {n} {chr(97 + i % 26)}", n) for i, n in enumerate(names)], "doc_id long, text string, lang string")
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda x, own: seen.update({n: own.count(n) for n in own}))
+    langid.trained(docs)
+    assert seen.keys() == sizes.keys() and min(seen.values()) >= 10 and max(seen.values()) <= 20
