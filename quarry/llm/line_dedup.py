@@ -1,8 +1,8 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
 A line (text between line feeds) of at least MIN_CHARS code points goes if an earlier one, by (doc_id, line number), is
-equal to it or one edit away (insertion, deletion or substitution of a code point). Shorter lines stay, as they repeat by
-nature. "Earlier" looks at all lines, kept or not, so the result does not depend on an order of work.
+equal to it or one edit away (insertion, deletion or substitution of a code point). Shorter lines go if an earlier one is
+equal, where short is set and they are not blank (white space only); else they stay. "Earlier" looks at all lines, kept or not, so the result does not depend on an order of work.
 
 Method. Equal lines are collapsed to their first occurrence. Two lines within THRESHOLD = 1 edit agree, outside one of
 THRESHOLD + 1 segments, exactly: the prefix before it, and the suffix after it counted from the end. So each line enters
@@ -79,12 +79,13 @@ def near(a: Column, b: Column, k: int = THRESHOLD) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) <= k, bound(F.struct(chars(a).alias("a"), chars(b).alias("b")), automaton)).otherwise(F.lit(False))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(o, h, n, line) of every line that is long enough: o and h place the document, n the line."""
+def lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """(o, h, n, line) of every line that is long enough, or with short not blank: o and h place the document, n the line."""
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("o"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("n", "line")
     )
-    return rows.filter(F.length("line") >= MIN_CHARS)
+    long = F.length("line") >= MIN_CHARS
+    return rows.filter(long | F.col("line").rlike(r"\S") if short else long)
 
 
 def _place() -> Column:
@@ -160,10 +161,11 @@ def near_lines(firsts: DataFrame, every: DataFrame) -> DataFrame:
     return found.distinct().select("place.*")
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(o, h, exact, near): for each document that loses lines, the numbers of its exact and of its near repeats."""
-    every = lines(docs.select("doc_id", "text"))
+    every = lines(docs.select("doc_id", "text"), short)
     keys = F.array(*[_key(F.col("line"), F.lit(long), b, e, 1) for long, b, e in _segments(F.col("line"))])
+    keys = F.when(F.length("line") >= MIN_CHARS, keys)
     identity = ("l1", "l2", "l3")
     hashed = cut(every.select("o", "h", "n", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"), F.length("line").alias("l3"), keys.alias("keys")))
     firsts = cut(hashed.groupBy(*identity).agg(F.min(_place()).alias("first"), F.any_value("keys").alias("keys"), F.count(F.lit(1)).alias("times")))
@@ -177,9 +179,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return out
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_exact, n_near (lines dropped), and text, what is left of it."""
-    return _applied(docs.select("doc_id", "text"), dropped_lines(docs)).select(
+    return _applied(docs.select("doc_id", "text"), dropped_lines(docs, short)).select(
         "doc_id",
         F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_quarry_exact"), F.lit(0)).cast("long").alias("n_exact"),

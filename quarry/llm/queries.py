@@ -113,4 +113,4 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_line_dedup")
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), short=True)

@@ -110,3 +110,18 @@ def test_long_lines_of_a_large_group(spark, monkeypatch):
         want = any(j < i and abs(len(texts[j]) - len(texts[i])) <= 1 and edits(texts[j][650:], texts[i][650:]) <= 1 for j in texts)
         assert (exact, near) == (0, int(want))
     assert list(itertools.islice(got, 1))
+
+
+def test_query_drops_short_repeats(spark, tmp_path):
+    """Non-blank lines under MIN_CHARS go where an earlier one is equal; near ones and blank ones stay."""
+    from quarry.llm.queries import QUERIES
+
+    rows = [(1, "Les.\nRead more\n\n  \nLes."), (2, "Read more\nread more\n\n  \nx"), (3, "x\na line that is long enough to count"), (4, "a line that is long enough to count!\nLes")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {
+        1: (5, 1, 0, "Les.\nRead more\n\n  "),
+        2: (5, 1, 0, "read more\n\n  \nx"),
+        3: (2, 1, 0, "a line that is long enough to count"),
+        4: (2, 0, 1, "Les"),
+    }
