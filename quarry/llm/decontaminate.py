@@ -10,6 +10,11 @@ diagonals (place in the document less place in the item) span at most k. Diagona
 retained, and verified by banded alignment: dynamic programming over the diagonals of the band only, all regions of a
 batch side by side.
 
+Parts. A document may hold only a part of an item. So items also enter the index as overlapping segments of SEGMENT
+normalised characters (SHARE of a shorter item, but LEAST_SEGMENT at least), STRIDE apart, each an item of its own with its
+own budget and bound. Any passage of an item that is STRIDE - 1 characters longer than a segment holds one whole. Segment
+regions that overlap are one region; those that overlap a region of the whole item are left out.
+
 Scale. One pass over the texts. The benchmark's q-grams travel with the tasks while they are few (MOST_SHIPPED characters,
 checked); a larger benchmark is split into parts of that size and each part is one more pass. Texts are read in windows
 that overlap by more than the longest region, so long texts need bounded memory and lose nothing. No pairs are formed
@@ -36,6 +41,8 @@ from quarry.llm.common import text_batches
 from quarry.session import ship
 
 Q, ERROR_RATE = 8, 0.1
+#: Characters of a segment of an item, the share of a shorter item, the least, and how far apart segments begin.
+SEGMENT, SHARE, LEAST_SEGMENT, STRIDE = 100, 0.7, 50, 20
 #: Characters of benchmark items that one pass takes along.
 MOST_SHIPPED = 4_000_000
 #: Characters of documents that are looked at together: the arrays over them stay in a core's cache.
@@ -277,10 +284,54 @@ def regions(index: Index, texts: list[str | None]) -> list[list[tuple[int, int,
     return _verified(index, texts, forms, bands)
 
 
+def segments(text: str | None) -> list[str]:
+    """The overlapping segments of an item's normalised text; none where a segment would be the whole item."""
+    form = normalised(text)
+    long = max(LEAST_SEGMENT, min(SEGMENT, int(SHARE * len(form))))
+    if len(form) <= long:
+        return []
+    return [form[a : a + long] for a in [*range(0, len(form) - long, STRIDE), len(form) - long]]
+
+
+class PartIndex(Index):
+    """An index of the items and, after them, of their segments; owner is the place of the item that an entry is of."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        whole = [(i, t) for i, t in items if len(normalised(t)) >= Q]
+        cuts = [(n, i, part) for n, (i, t) in enumerate(whole) for part in segments(t)]
+        super().__init__(whole + [(i, part) for _, i, part in cuts])
+        self.whole = len(whole)
+        self.owner = [*range(len(whole)), *(n for n, _, _ in cuts)]
+
+
+def passages(index: PartIndex, texts: list[str | None]) -> list[list[tuple[int, int, int, int, float]]]:
+    """For each text (place of the item in the index, start, end, edits, similarity) of the regions that hold an item or a
+    part of it. Where only segments are found, edits and similarity are those of the closest one."""
+    out = []
+    for own in regions(index, texts):
+        found = [(i, a, b, e, 1 - e / int(index.m[i])) for i, a, b, e in own if i < index.whole]
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for i, a, b, _, _ in found:
+            spans.setdefault(i, []).append((a, b))
+        runs: dict[int, list[tuple[int, int, int, float]]] = {}
+        for i, a, b, e in sorted((r for r in own if r[0] >= index.whole), key=lambda r: r[1:]):
+            item, close = index.owner[i], 1 - e / int(index.m[i])
+            if any(a < y and x < b for x, y in spans.get(item, ())):
+                continue
+            before = runs.setdefault(item, [])
+            if before and a < before[-1][1]:
+                x, y, least, best = before[-1]
+                before[-1] = (x, max(y, b), *min((least, best), (e, close), key=lambda p: -p[1]))
+            else:
+                before.append((a, b, e, close))
+        out.append(sorted(found + [(i, *run) for i, own_runs in runs.items() for run in own_runs]))
+    return out
+
+
 def shipped_parts(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in parts whose texts hold at most MOST_SHIPPED characters, or one item each."""
+    """The items in parts whose texts and segments hold at most MOST_SHIPPED characters, or one item each."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n * (1 + SEGMENT // STRIDE)
     parts = max(1, -(-int(size) // MOST_SHIPPED))
     if parts == 1:
         return [sorted((r.item_id, r.text) for r in rows.collect())]
@@ -289,12 +340,13 @@ def shipped_parts(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per leaked region: doc_id, item_id, start, end (code points of the text, end exclusive), edits, similarity."""
+    """Per leaked region, of a whole item or a part of one: doc_id, item_id, start, end (code points of the text, end
+    exclusive), edits, similarity."""
 
-    def found(index: Index):
+    def found(index: PartIndex):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, texts in text_batches(batches):
-                rows = [(d, index.ids[i], a, b, e, 1 - e / int(index.m[i])) for d, own in zip(ids, regions(index, texts)) for i, a, b, e in own]
+                rows = [(d, index.ids[i], a, b, e, close) for d, own in zip(ids, passages(index, texts)) for i, a, b, e, close in own]
                 if rows:
                     kinds = [pa.int64()] * 5 + [pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "item_id", "start", "end", "edits", "similarity"])
@@ -304,15 +356,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for part in shipped_parts(benchmark):
-        one = texts.mapInArrow(found(Index(part)), "doc_id long, item_id long, start long, end long, edits long, similarity double")
+        one = texts.mapInArrow(found(PartIndex(part)), "doc_id long, item_id long, start long, end long, edits long, similarity double")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no region of any item, with their own columns only."""
+    """The rows of docs that hold no region of any item or part of one, with their own columns only."""
 
-    def leaks(index: Index):
+    def leaks(index: PartIndex):
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in parts:
                 yield pd.Series([bool(own) for at in range(0, len(texts), 512) for own in regions(index, texts.iloc[at : at + 512].tolist())], dtype=bool)
@@ -320,7 +372,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return F.pandas_udf(run, "boolean")
 
     for part in shipped_parts(benchmark):
-        docs = docs.filter(~leaks(Index(part))("text"))
+        docs = docs.filter(~leaks(PartIndex(part))("text"))
     return docs
 
 

@@ -103,3 +103,18 @@ def test_alignment_drops_nothing():
     text = d.codes("zz" + "abcdefghij" * 5)
     assert d.aligned(index, [(0, text, 2, 2), (0, text, 40, 45)]) == [(0, 2, 52), None]
     assert isinstance(np.uint32(3), np.uint32)
+
+
+def test_parts_of_items(spark):
+    r = random.Random(8)
+    long, short = words(r, 400), words(r, 40)
+    form = d.normalised(short)
+    texts = {1: f"{words(r, 20)}. {short[: int(0.8 * len(short))]} {words(r, 30)}", 2: f"{words(r, 9)} {long[700:1030]}, {words(r, 9)}", 3: f"{words(r, 9)} {edited(r, long[300:600], 8)} {words(r, 9)}", 4: words(r, 300), 5: f"{words(r, 5)} {short}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    found = d.find_leaks(docs, benchmark).collect()
+    assert sorted({(x.doc_id, x.item_id) for x in found}) == [(1, 1), (2, 2), (3, 2), (5, 1)]
+    (cut,) = [x for x in found if x.doc_id == 2]
+    assert cut.edits == 0 and len(set(range(cut.start, cut.end)) & set(range(texts[2].find(long[700:1030]), texts[2].find(long[700:1030]) + 330))) > 280
+    assert [(x.edits, x.similarity) for x in found if x.doc_id == 5] == [(0, 1.0)] and len(form) > 100
+    assert [x.doc_id for x in d.clean(docs, benchmark).collect()] == [4]
