@@ -5,11 +5,13 @@ and compatibility forms to ASCII, invisible characters to nothing, spelled at/do
 digits. Each output character keeps the interval of source characters that it came from, so the same grammars run on the
 normal form and their matches map back to source spans. Spans that the rewriting made possible are added; base spans stay.
 
-A rewriting that could be chance (a bare "at", a spelled digit) counts only where the whole match needs it: a disguised
-address must have a spelled or bracketed dot or a known ending, spelled digits must come in runs.
+A rewriting that could be chance (a bare "at", a spelled digit) counts only where the whole match bears it out: _plausible
+states what a disguised address must show; spelled digits must come in runs. Secrets (access keys, assigned tokens and
+passwords) are looked for in the text as it stands and told apart from the four kinds.
 
 Scale. One pass over the texts, no shuffle; every scan is linear in the text's length (the address grammar is anchored at
-its at sign, so long runs of letters are read once). Only texts that show a trace of a disguise are rewritten.
+its at sign, signs are matched at a character that is not blank, spans are looked up by place). Only texts that show a
+trace of a disguise are rewritten, and a rewritten text holds its replacements only, not a place for each character.
 
 Defined cases: null and empty texts have no spans; ties cannot arise, as spans of a kind do not overlap unless a disguised
 address holds a base one; repeated rows give repeated rows; an empty table gives no rows; other columns are not read.
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +35,6 @@ from quarry.session import ship
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
-_LOCAL_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -114,9 +116,11 @@ AT_WORDS, DOT_WORDS, PLUS_WORDS = ("at", "arroba", "arobase", "klammeraffe"), ("
 
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
+#: Every alternative begins and ends with a character that is not blank (but "plus", which ends with blanks that it alone
+#: reads), so a run of blanks is not tried again from each of its places; spelled_signs takes in the blanks around a match.
 _REWRITE = re.compile(
-    rf"(?P<at>\s*{_OPEN}\s*(?:{'|'.join(AT_WORDS)}|@|a)\s*{_CLOSE}\s*|\s+(?:{'|'.join(AT_WORDS)})\s+|(?<=\w)[_-](?:at|AT)[_-](?=\w)|\s+@\s*|\s*@\s+)"
-    rf"|(?P<dot>\s*{_OPEN}\s*(?:{'|'.join(DOT_WORDS)}|\.)\s*{_CLOSE}\s*|\s+(?:{'|'.join(DOT_WORDS)})\s+|(?<=\w)[_-](?:dot|DOT)[_-](?=\w))"
+    rf"(?P<at>{_OPEN}\s*(?:{'|'.join(AT_WORDS)}|@|a)\s*{_CLOSE}|(?<=\s)(?:{'|'.join(AT_WORDS)})(?=\s)|(?<=\w)[_-](?:at|AT)[_-](?=\w)|@)"
+    rf"|(?P<dot>{_OPEN}\s*(?:{'|'.join(DOT_WORDS)}|\.)\s*{_CLOSE}|(?<=\s)(?:{'|'.join(DOT_WORDS)})(?=\s)|(?<=\w)[_-](?:dot|DOT)[_-](?=\w))"
     rf"|(?P<plus>\b(?:{'|'.join(PLUS_WORDS)})\s+(?=(?:{_WORDS}|[0-9])))"
     rf"|(?P<digit>\b(?:(?P<times>double|triple)\s+)?(?P<word>{_WORDS})\b)"
     r"|(?P<letter>(?<=[0-9])[OolI]{1,4}(?=[ -]?[0-9])|(?<=[0-9][ -])[OolI]{1,4}(?=[0-9])|(?<=[0-9][ -])[OolI]{2,4}(?![A-Za-z]))",
@@ -126,6 +130,7 @@ _ODD = re.compile(r"[^\x00-\x7fÀ-ÿ]")
 _BRACKETED = re.compile(rf"{_OPEN}\s*(?:{'|'.join(AT_WORDS + DOT_WORDS)}|@|a|\.)\s*{_CLOSE}")
 _SPELLED_DOT = re.compile(rf"\b(?:{'|'.join(DOT_WORDS)})\b")
 _LETTER_IN_DIGITS = re.compile(r"[0-9][ -]?[oli]{1,4}[ -]?[0-9]|[0-9][ -][oli]{2,4}\b")
+_AT_DOMAIN = re.compile(r"\sat\s{1,4}[a-z0-9-]+\.[a-z]{2}")
 _SPACED_AT = re.compile(r"\s@|@\s")
 _BESIDE = " \t\n\r,.-()"
 
@@ -167,6 +172,7 @@ def traces(text: str) -> bool:
         any(c in low for c in "[({<") and _BRACKETED.search(low) is not None
         or any(w in low for w in DOT_WORDS) and _SPELLED_DOT.search(low) is not None
         or any(w in low for w in ("_at_", "-at-", "_dot_", "-dot-"))
+        or " at " in low and _AT_DOMAIN.search(low) is not None
         or "@" in low and _SPACED_AT.search(low) is not None
         or _LETTER_IN_DIGITS.search(low) is not None
         or _spelled_run(low)
@@ -174,28 +180,39 @@ def traces(text: str) -> bool:
 
 
 class Traced:
-    """A text with, for each character, the source interval that it came from. None: it is the source itself."""
-
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
-        self.text, self.starts, self.ends = text, starts, ends
+    """A text that came from another one by replacing intervals, and the way back. Only the replacements are held: where each
+    begins and ends in this text, and where in the one before."""
+
+    def __init__(self, text: str, before: Traced | None = None, held: tuple[list[int], ...] = ()):
+        self.text, self.before, self.held = text, before, held
+
+    def _back(self, at: int, end: bool) -> int:
+        """Place in the text before of a character: where it begins, or with end where it ends. A replaced one stands for its
+        whole interval."""
+        begins, ends, source_begins, source_ends = self.held
+        i = bisect_right(begins, at) - 1
+        if i < 0:
+            return at + end
+        if at < ends[i]:
+            return source_ends[i] if end else source_begins[i]
+        return at - ends[i] + source_ends[i] + end
 
     def span(self, a: int, b: int) -> Span:
-        return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
+        """Source interval of the characters from a to b."""
+        return (a, b) if self.before is None else self.before.span(self._back(a, False), self._back(b - 1, True))
 
     def rewritten(self, parts: list[tuple[int, int, str]]) -> Traced:
-        """Replace the given intervals; each output character of a replacement stands for the whole interval."""
-        text, starts, ends, at = [], [], [], 0
-        for a, b, new in [*parts, (len(self.text), len(self.text), "")]:
-            text.append(self.text[at:a])
-            starts += range(at, a) if self.starts is None else self.starts[at:a]
-            ends += range(at + 1, a + 1) if self.ends is None else self.ends[at:a]
-            if new:
-                x, y = self.span(a, b)
-                text.append(new)
-                starts += [x] * len(new)
-                ends += [y] * len(new)
+        """Replace the given intervals, in order."""
+        text, at, length = [], 0, 0
+        held: tuple[list[int], ...] = ([], [], [], [])
+        for a, b, new in parts:
+            text += [self.text[at:a], new]
+            length += a - at
+            for own, place in zip(held, (length, length + len(new), a, b)):
+                own.append(place)
+            length += len(new)
             at = b
-        return Traced("".join(text), starts, ends)
+        return Traced("".join([*text, self.text[at:]]), self, held)
 
 
 def plain_characters(text: Traced) -> Traced:
@@ -216,24 +233,29 @@ def plain_characters(text: Traced) -> Traced:
 
 def spelled_signs(text: Traced) -> Traced:
     """At, dot and plus signs and digits that are spelled, and the letters O, o, l and I among digits."""
-    parts, last_digit = [], None
-    for m in _REWRITE.finditer(text.text):
+    own, parts, done, last_digit = text.text, [], 0, None
+    for m in _REWRITE.finditer(own):
         a, b = m.span()
-        if m["at"]:
-            parts.append((a, b, "@"))
-        elif m["dot"]:
-            parts.append((a, b, "."))
+        if m["at"] or m["dot"]:
+            if own[a] not in "_-":  # the blanks around a sign belong to it
+                while a > done and own[a - 1].isspace():
+                    a -= 1
+                while b < len(own) and own[b].isspace():
+                    b += 1
+            if m[0] == "@" and b - a == 1:
+                continue
+            parts.append((a, b, "@" if m["at"] else "."))
         elif m["plus"]:
             parts.append((a, b, "+"))
         elif m["letter"]:
-            parts += [(i, i + 1, "0" if text.text[i] in "Oo" else "1") for i in range(a, b)]
+            parts += [(i, i + 1, "0" if own[i] in "Oo" else "1") for i in range(a, b)]
         else:
             times = {"double": 2, "triple": 3}.get((m["times"] or "").lower(), 1)
-            if last_digit is not None and re.fullmatch(r"[\s,]*", text.text[last_digit:a]):
-                if last_digit < a:
-                    parts.append((last_digit, a, ""))
+            if last_digit is not None and last_digit == done < a and not own[last_digit:a].strip(" \t\r\n,"):
+                parts.append((last_digit, a, ""))
             parts.append((a, b, DIGIT_WORDS[m["word"].lower()] * times))
             last_digit = b
+        done = b
     return text.rewritten(parts) if parts else text
 
 
@@ -243,41 +265,96 @@ ENDINGS = {"com", "org", "net", "edu", "gov", "io", "co", "info", "biz", "de", "
 
 #: Words that no address has for a domain, as in "look at the dot".
 ARTICLES = {"the", "a", "an", "this", "that", "each", "every", "my", "your", "our", "his", "her", "their"}
-_SIGN_SHOWN = re.compile(rf"{_OPEN}|@|[_-](?:at|dot)[_-]|\b(?:{'|'.join(DOT_WORDS)})\b", re.IGNORECASE)
+#: Words that follow a dot in a sentence and are no ending of an address.
+NO_ENDINGS = {"is", "on", "of", "to", "or", "and", "the", "that", "for", "with", "from", "was", "are", "as", "we", "he", "she", "they", "here", "there"}
+_BRACKET_OR_SIGN = re.compile(rf"{_OPEN}|[@＠﹫]")
+_JOINED_SIGN = re.compile(r"[_-](?:at|dot)[_-]", re.IGNORECASE)
+_DOT = re.compile(r"\bdot\b", re.IGNORECASE)
+#: A dot word of another language counts with an at word of that language.
+_PAIRED = re.compile(r"\b(?:at|klammeraffe)\b.*\bpunkt\b|\barroba\b.*\bpunto\b|\barobase\b.*\bpoint\b", re.IGNORECASE | re.DOTALL)
+_USER_NAME = re.compile(r"[0-9._+-]")
 
 
 def _plausible(kind: str, found: str, source: str) -> bool:
-    """Whether a match that is only there after rewriting is more than chance: an address has a known ending, or a sign in
-    brackets and an ending of letters, and more of a disguise than a bare "at"."""
+    """Whether a match that is only there after rewriting is more than chance. An address needs an ending of 2 to 24 letters
+    and one of: a bracket or a sign in the source; other letters than ASCII with a known ending; or, where its domain is no
+    article, a spelled "dot" with an ending that is no common word; a dot word that fits its at word, or signs between hyphens or
+    underscores, with a known ending; a bare "at" before a domain with a known ending, if the part before it has a digit,
+    dot, plus, hyphen or underscore, as user names do and words do not."""
     if kind != "email":
         return True
-    domain = found.split("@", 1)[1].lower()
-    first, ending = domain.split(".", 1)[0], domain.rsplit(".", 1)[1]
-    if first in ARTICLES or source.isascii() and not _SIGN_SHOWN.search(source):
+    local, domain = found.split("@", 1)
+    first, ending = domain.lower().split(".", 1)[0], domain.lower().rsplit(".", 1)[1]
+    if not (2 <= len(ending) <= 24 and ending.isalpha()):
+        return False
+    if _BRACKET_OR_SIGN.search(source):
+        return True
+    if first in ARTICLES:
         return False
-    return ending in ENDINGS or re.search(rf"{_OPEN}|@", source) is not None and 2 <= len(ending) <= 24 and ending.isalpha()
+    if not source.isascii():
+        return ending in ENDINGS
+    if _DOT.search(source):
+        return ending not in NO_ENDINGS
+    return ending in ENDINGS and (_PAIRED.search(source) or _JOINED_SIGN.search(source) or _USER_NAME.search(local)) is not None
+
+
+class Layer:
+    """Spans in order that do not overlap, looked up by place."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans, self.ends = list(spans), [b for _, b in spans]
+
+    def add(self, span: Span) -> None:
+        self.spans.append(span)
+        self.ends.append(span[1])
+
+    def touched(self, a: int, b: int) -> list[Span]:
+        i, out = bisect_right(self.ends, a), []
+        while i < len(self.spans) and self.spans[i][0] < b:
+            out.append(self.spans[i])
+            i += 1
+        return out
 
 
 def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that appear only once the text is rewritten. A span that lies in a base span, or touches a base span of its
     kind without being an address that holds it, is left out."""
-    out: dict[str, list[Span]] = {kind: [] for kind in KINDS}
     plain = plain_characters(Traced(text)) if _ODD.search(text) else Traced(text)
     forms = [plain] if plain.text != text else []
     if traces(plain.text):
         forms.append(spelled_signs(plain))
+    layers = {kind: [Layer(base[kind])] for kind in KINDS}
     for form in forms:
         for kind, spans in base_spans(form.text).items():
+            own = Layer([])
             for a, b in spans:
                 span = form.span(a, b)
                 source = text[slice(*span)]
                 if source == form.text[a:b] or not _plausible(kind, form.text[a:b], source):
                     continue
-                near = [s for s in base[kind] + out[kind] if s[0] < span[1] and span[0] < s[1]]
+                near = [s for layer in layers[kind] for s in layer.touched(*span)]
                 if any(s[0] <= span[0] and span[1] <= s[1] for s in near) or near and kind != "email":
                     continue
-                out[kind].append(span)
-    return out
+                own.add(span)
+            layers[kind].append(own)
+    return {kind: [s for layer in own[1:] for s in layer.spans] for kind, own in layers.items()}
+
+
+#: Forms of access keys, and names that a secret is assigned to.
+SECRET = re.compile(
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----|\bAKIA[0-9A-Z]{16}\b|\bgh[opsu]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9_-]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}"
+    r"|\b(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|secret[_-]?key)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?(?P<value>[A-Za-z0-9+/_=-]{16,})",
+    re.IGNORECASE,
+)
+_SECRET_SIGNS = ("-----begin", "akia", "gh", "sk-", "xox", "token", "secret", "passw", "pwd", "key")
+
+
+def secrets(text: str) -> list[Span]:
+    """Access keys and assigned secrets; of an assignment the value."""
+    low = text.lower()
+    if not any(sign in low for sign in _SECRET_SIGNS):
+        return []
+    return [m.span("value") if m["value"] else m.span() for m in SECRET.finditer(text)]
 
 
 def written(spans: dict[str, list[Span]]) -> str:
@@ -293,15 +370,19 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, b in zip(texts, base):
             more = added_spans(t, b) if t else {}
             every.append({k: b[k] + more.get(k, []) for k in KINDS})
+        keys = [secrets(t or "") for t in texts]
         columns = [pa.array(ids, pa.int64()), *(pa.array([len(s[k]) for s in base], pa.int64()) for k in KINDS)]
         columns += [pa.array([written(s) for s in x], pa.string()) for x in (base, every)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"])
+        columns += [pa.array([",".join(f"secret:{a}:{b}" for a, b in own) for own in keys], pa.string())]
+        columns += [pa.array([sum(map(len, s.values())) + len(own) for s, own in zip(every, keys)], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans", "secrets", "n_found"])
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, the number of base spans of each kind, base and all spans as kind:start:end, comma-joined."""
+    """Per row of docs: doc_id, the number of base spans of each kind, base and all spans as kind:start:end, comma-joined,
+    spans of secrets (a kind of its own, apart from the four), and the number of all spans and secrets."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string"
+        _found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, secrets string, n_found long"
     )
 
 
@@ -310,7 +391,7 @@ def redacted(text: str, mask: str = "█") -> str:
     base = base_spans(text)
     more = added_spans(text, base)
     chars = list(text)
-    for a, b in (s for k in KINDS for s in base[k] + more[k]):
+    for a, b in [s for k in KINDS for s in base[k] + more[k]] + secrets(text):
         chars[a:b] = mask * (b - a)
     return "".join(chars)
 
