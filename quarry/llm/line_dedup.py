@@ -1,55 +1,99 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
-A line (text between line feeds) of at least MIN_CHARS code points goes if an earlier one, by (doc_id, line number), is
-equal to it or one edit away (insertion, deletion or substitution of a code point). Shorter lines go if an earlier one is
-equal, where short is set and they are not blank (white space only); else they stay. "Earlier" looks at all lines, kept or not, so the result does not depend on an order of work.
-
-Method. Equal lines are collapsed to their first occurrence. Two lines within THRESHOLD = 1 edit agree, outside one of
-THRESHOLD + 1 segments, exactly: the prefix before it, and the suffix after it counted from the end. So each line enters
-the index once for each segment, under the hash of what surrounds the segment and the nominal length, and probes it once
-for each segment as a line that is one longer than the nominal length (the length-aware part). Lines that meet under a key
-are verified by the banded bit-parallel edit distance of their segments only, since the rest is equal.
-
-Groups. Only lines that share a key with another one are looked at further. Where more than GROUP lines share a key, the
-segment itself is divided (by DIVISION) and its parts are indexed anew, until a group is small or the segment is a single
-code point: the lines of a group then differ in that point alone, so every level divides lines that can still be near, and
-pairs are never formed beyond GROUP lines. Inside a group each line asks whether an earlier one is near; that is an array
-function, which yields one row for each line, not for each pair.
-
-Scale. The texts are shuffled once, to take lines out; the index holds hashes and places. The lines that share a key get
-their text back by a join on the place (broadcast only below BROADCAST_ROWS of 20 bytes, counted first). Each level is cut
-as a table in the shared scratch folder.
-
-Hashes: a line's identity is two 64-bit hashes with the length; a key is two 64-bit hashes with length and segment.
-
-Defined cases: null and empty texts have no lines to drop; rows of one doc_id are told apart by their text's hash, and of
-equal rows with one doc_id all lines count as the same places (they stay or go together, and do not drop each other);
-null doc_ids come first; an empty table gives no rows; columns of documents other than text and n_chars stay as they are,
-whatever their names.
+A line (text between line feeds) that is not blank goes if an earlier one, by (doc_id, line number), is equal to it or near
+it. "Earlier" looks at all lines, kept or not, so the result does not depend on an order of work. Near means few edits
+(insertions, deletions, substitutions) in units of a kind: one code point from 16 code points on, and one, two or three
+words from 10, 20 and 40 words on (words stand between single blanks; at most a tenth of a line's words). The shorter line
+decides how many edits a pair may have. Each Measure has such a threshold for each length, for any number of edits.
+
+Method. A line of n units that may have k edits is split into k + 1 segments, each an index entry under its content, its
+number and n. One of them is whole in every line within k edits, with at most j edits before the j-th segment and k - j
+after it; so a line probes, for its own length and each of the k lengths below (the length-aware part), the substrings at
+the few places where that can be. Lines that meet under a key are verified by the banded bit-parallel edit distance.
+
+Groups. Only keys that two different lines share are looked at further. In a group of more than GROUP lines, all are
+compared with the earliest one; where some are left that are not near it, the group is divided: the longest part beside
+the shared segments has j of the edits left, so its own j + 1 segments become part of the key, with the lengths and places
+as before. That goes on until groups are small or their parts are no longer than the edits left. What then is still in a
+large group is compared in blocks of about GROUP lines. A row stands for a line and a block, never for a pair, no list
+grows beyond a group's bound, and every near pair is looked at.
+
+Scale. Three passes over the texts: identities of lines; keys, of which only those that two lines share are kept (24 bytes
+a key go through the shuffle, no text); and the lines under shared keys, which are joined to the shared keys (broadcast only
+below BROADCAST_ROWS keys of 8 bytes, counted first). The texts themselves are shuffled once, to take lines out. Each
+level is cut as a table in the shared scratch folder.
+
+Hashes: a line's identity is two 64-bit hashes with the length; a key is a 64-bit hash, and what it brings together is
+verified, so a clash of keys costs time and no wrong result.
+
+Defined cases: null and empty texts have no lines to drop; blank lines (white space only) stay; rows of one doc_id are told
+apart by their text's hash, and of equal rows with one doc_id all lines count as the same places (they stay or go together,
+and do not drop each other); null doc_ids come first; an empty table gives no rows; columns of documents other than text
+and n_chars stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bound
 from quarry.session import cut, discard
 
-THRESHOLD, MIN_CHARS = 1, 16
-#: Parts that a segment is divided into, and lines under one key that are compared with each other.
-DIVISION, GROUP = 8, 48
-#: Places (20 bytes each) that may be broadcast, after counting.
-BROADCAST_ROWS = 500_000
+
+class Measure(NamedTuple):
+    """A kind of unit: how a line's value is made, measured and cut (cut: SQL function of value, place and length), how it is
+    split into units for verification, from which numbers of units on 1, 2, ... edits are allowed, and which lines are
+    measured so. Steps must exceed their edits, so that no segment is empty."""
+
+    name: str
+    value: Callable[[Column], Column]
+    size: Callable[[Column], Column]
+    cut: str
+    units: Callable[[Column], Column]
+    steps: tuple[int, ...]
+    holds: Callable[[Column], Column] = lambda line: F.lit(True)
+
+    def allowed(self, n: Column) -> Column:
+        """Edits that a line of so many units may have."""
+        return sum((F.when(n >= least, 1).otherwise(0) for least in self.steps), F.lit(0))
+
+
+def _points(line: Column) -> Column:
+    return F.filter(F.split(line, ""), lambda c: c != "")
+
+
+def _words(line: Column) -> Column:
+    """Words as 64-bit hashes: slices of them are copied and hashed without an object for each word."""
+    return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+
+
+WORDS = Measure("words", _words, F.size, "slice", _words, (10, 20, 40))
+#: One edit of a code point is at most two edits of words (a word parted in two), so lines of more than WORDS.steps[1] words
+#: are left to the words.
+POINTS = Measure(
+    "points", lambda line: line, F.length, "substring", _points, (16,), lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) < WORDS.steps[1]
+)
+MEASURES = (POINTS, WORDS)
+#: Lines of a group that are compared with each other.
+GROUP = 48
+#: Shared keys (8 bytes each) that may be broadcast, after counting.
+BROADCAST_ROWS = 1_000_000
 _LEAST = -(1 << 63)
 
 
-def near(a: Column, b: Column, k: int = THRESHOLD) -> Column:
-    """Whether two strings are within k edits, by a banded bit-parallel automaton.
+def near_units(left: Column, right: Column, k: int) -> Column:
+    """Whether two arrays are within k edits, by a banded bit-parallel automaton.
 
-    State e is a bit vector over the 2k + 1 diagonals of the band: bit d + k says that the first i characters of b match
-    the first i + d of a with at most e edits. A character of b moves all diagonals at once: a match keeps the diagonal
-    where the characters agree, a substitution keeps it at one edit more, an insertion moves it down and a deletion up."""
+    State e is a bit vector over the 2k + 1 diagonals of the band: bit d + k says that the first i units of the right one
+    match the first i + d of the left one with at most e edits. A unit of the right one moves all diagonals at once: a match
+    keeps the diagonal where the units agree, a substitution keeps it at one edit more, an insertion moves it down and a
+    deletion up."""
     band = (1 << (2 * k + 1)) - 1
 
     def automaton(pair: Column) -> Column:
@@ -75,113 +119,229 @@ def near(a: Column, b: Column, k: int = THRESHOLD) -> Column:
         apart = F.size(left) - F.size(right)
         return last.bitwiseAND(F.get(F.array(*[F.lit(1 << d) for d in range(2 * k + 1)]), apart + k)) != 0
 
-    chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
-    return F.when(F.abs(F.length(a) - F.length(b)) <= k, bound(F.struct(chars(a).alias("a"), chars(b).alias("b")), automaton)).otherwise(F.lit(False))
+    return F.when(F.abs(F.size(left) - F.size(right)) <= k, bound(F.struct(left.alias("a"), right.alias("b")), automaton)).otherwise(F.lit(False))
+
+
+def near(a: Column, b: Column, k: int = 1) -> Column:
+    """Whether two strings are within k edits of code points."""
+    return near_units(_points(a), _points(b), k)
 
 
-def lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(o, h, n, line) of every line that is long enough, or with short not blank: o and h place the document, n the line."""
-    rows = docs.select(
+def _within(a: Column, b: Column, measure: Measure) -> Column:
+    """Whether two arrays of units are as near as the measure allows for the shorter one."""
+    k = measure.allowed(F.least(F.size(a), F.size(b)))
+    return reduce(lambda rest, e: F.when(k == e, near_units(a, b, e)).otherwise(rest), range(1, len(measure.steps) + 1), F.lit(False))
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """(o, h, n, line) of every line that is not blank: o and h place the document, n the line."""
+    return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("o"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("n", "line")
-    )
-    long = F.length("line") >= MIN_CHARS
-    return rows.filter(long | F.col("line").rlike(r"\S") if short else long)
+    ).filter(F.col("line").rlike(r"\S"))
 
 
 def _place() -> Column:
     return F.struct("o", "h", "n")
 
 
-def _key(line: Column, long: Column, begin: Column, end: Column, seed: int) -> Column:
-    """Hash of what surrounds a segment: prefix, suffix counted from the end, nominal length and the segment's borders."""
-    prefix, suffix = F.substr(line, F.lit(1), begin), F.substr(line, end + long + 1)
-    return F.xxhash64(F.lit(seed), prefix, F.lit(0), suffix, F.length(line) - long, begin, end)
+# --- keys ------------------------------------------------------------------------------------------------------------
+
+
+# Expressions that repeat for every segment and place are written as SQL text, over the columns that are named in them.
+
+
+def _border(length: str, i: int, of: int) -> str:
+    return f"CAST({length} * {i} / {of} AS INT)"
+
+
+def _windows(b: int, apart: int | None = None):
+    """(segment, offset) of the places where a segment can be that is whole between parts with at most b edits: within j of
+    its own place and within b - j of it counted from the end, where apart is by how much the probing part is longer."""
+    return [(j, off) for j in range(b + 1) for off in range(-j, j + 1) if apart is None or abs(apart - off) <= b - j]
+
+
+def _probed(measure: Measure):
+    """(k, shorter): a line probes lines that may have k edits and are so many units shorter."""
+    return [(k, shorter) for k in range(1, len(measure.steps) + 1) for shorter in range(k + 1)]
 
 
-def _segments(line: Column) -> list[tuple[int, Column, Column]]:
-    """(long, begin, end) of the THRESHOLD + 1 segments of a line for its own length and for the one a code point shorter."""
-    out = []
-    for long in range(THRESHOLD + 1):
-        nominal = F.length(line) - long
-        borders = [F.floor(nominal * i / (THRESHOLD + 1)).cast("int") for i in range(THRESHOLD + 2)]
-        out += [(long, x, y) for x, y in zip(borders, borders[1:])]
+def _may_have(measure: Measure, k: int, m: str) -> str:
+    """Whether a line of m units may have k edits, no more and no fewer."""
+    return f"{m} >= {measure.steps[k - 1]}" + (f" AND {m} < {measure.steps[k]}" if k < len(measure.steps) else "")
+
+
+def _key(measure: Measure, m: str, k: int, j: int, off: int) -> str:
+    """Key of 61 bits of the segment j of a line of m units, found in value at its place and off."""
+    begin, end = _border(m, j, k + 1), _border(m, j + 1, k + 1)
+    return f"shiftright(xxhash64('{measure.name}', {m}, {j}, {measure.cut}(value, {begin} + {off + 1}, {end} - {begin})), 3)"
+
+
+def _keys(measure: Measure, number: int) -> str:
+    """Keys of a line with value and n, times eight: plus twice the measure's number, plus one if it is a segment of its own
+    and not a probe of lines up to k units shorter."""
+    found = []
+    for k, shorter in _probed(measure):
+        m = f"(n - {shorter})"
+        some = ", ".join(f"shiftleft({_key(measure, m, k, j, off)}, 3) | {2 * number + int(shorter == off == 0)}L" for j, off in _windows(k, shorter))
+        found.append(f"CASE WHEN {_may_have(measure, k, m)} THEN array({some}) ELSE CAST(array() AS ARRAY<BIGINT>) END")
+    return f"concat({', '.join(found)})"
+
+
+def _keyed(every: DataFrame, measures: tuple[Measure, ...], *columns: Column) -> DataFrame:
+    """(key, number, own) with the given columns of every for all keys of its lines; number: that of the measure.
+
+    The filter keeps nothing out. It keeps the keys out of whole-stage code generation, whose one method would be too long for
+    the JVM to compile; outside of it they become methods of their own. The outer explode is for the optimizer, which else
+    would ask for the size of the keys, and compute them, once more."""
+    rows = every.select(*columns, *[c for i, x in enumerate(measures) for c in (x.value(F.col("line")).alias(f"value{i}"), x.holds(F.col("line")).alias(f"holds{i}"))])
+    names = rows.columns[: len(columns)]
+    rows = rows.withColumns({f"n{i}": F.when(F.col(f"holds{i}"), x.size(F.col(f"value{i}"))).otherwise(0) for i, x in enumerate(measures)})
+    own = [re.sub(r"\b(value|n)\b", rf"\g<1>{i}", _keys(x, i)) for i, x in enumerate(measures)]
+    rows = rows.select(*names, F.expr(f"filter(concat({', '.join(own)}), x -> x IS NOT NULL)").alias("keys"))
+    rows = rows.select(*names, F.explode_outer("keys").alias("e")).filter("e IS NOT NULL")
+    return rows.select(F.shiftright("e", 3).alias("key"), F.shiftright("e", 1).bitwiseAND(3).alias("number"), F.col("e").bitwiseAND(1).alias("own"), *names)
+
+
+def _shared_keys(every: DataFrame, measures: tuple[Measure, ...]) -> DataFrame:
+    """Keys that an index entry and another line have."""
+    counted = _keyed(every, measures, F.xxhash64("line").alias("l")).groupBy("key").agg(F.min("l").alias("a"), F.max("l").alias("b"), F.max("own").alias("own"))
+    return counted.filter("a <> b AND own = 1").select("key")
+
+
+def _met(every: DataFrame, measures: tuple[Measure, ...]) -> DataFrame:
+    """(key, number, place, line) of the lines under shared keys; of equal lines the first."""
+    shared = cut(_shared_keys(every, measures))
+    few = shared.count() <= BROADCAST_ROWS
+    place = _place().alias("place")
+    if few:
+        rows = _keyed(every, measures, place, F.col("line")).join(F.broadcast(shared), "key")
+    else:  # the lines come back by their places, so that keys travel without them
+        places = cut(_keyed(every, measures, place, F.xxhash64("line").alias("l")).join(shared, "key").groupBy("key", "number", "l").agg(F.min("place").alias("place")))
+        rows = places.join(every.select(place, "line").join(places.select("place").distinct(), "place").dropDuplicates(["place"]), "place")
+    out = cut(rows.groupBy("key", "number", "line").agg(F.min("place").alias("place")))
+    discard(shared)
     return out
 
 
-def _divided(rows: DataFrame) -> DataFrame:
-    """rows (place, line, long, b, e) with each segment divided into up to DIVISION parts, and the parts' keys."""
-    many = F.least(F.lit(DIVISION), F.greatest(F.col("e") - F.col("b"), F.lit(1)))
-    at = lambda i: F.col("b") + F.floor((F.col("e") - F.col("b")) * i / many).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(at(i).alias("b"), at(i + 1).alias("e")))
-    cuts = rows.select("place", "line", "long", F.explode(parts).alias("s")).select("place", "line", "long", "s.b", "s.e")
-    return cuts.withColumn("k1", _key(F.col("line"), F.col("long"), F.col("b"), F.col("e"), 1))
+# --- groups ----------------------------------------------------------------------------------------------------------
+
 
+def _has_earlier(x: Column, others: Column, measure: Measure) -> Column:
+    return F.exists(others, lambda y: (y["place"] < x["place"]) & _within(y["units"], x["units"], measure))
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """Entries whose key two lines or more have, with that number."""
-    counted = entries.groupBy("k1").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    return entries.join(counted, "k1")
 
+def _compared(rows: DataFrame, measure: Measure) -> DataFrame:
+    """Places of the lines of small groups that have an earlier near one."""
+    groups = rows.groupBy("key").agg(F.collect_set(F.struct("place", "units")).alias("all"))
+    return groups.filter(F.size("all") > 1).select(F.explode(F.filter("all", lambda x: _has_earlier(x, F.col("all"), measure))).alias("x")).select("x.place")
 
-def _verified(entries: DataFrame) -> DataFrame:
-    """Places of the lines of small groups that have an earlier line within the threshold."""
-    content = F.substr("line", F.col("b") + 1, F.col("e") - F.col("b") + F.col("long"))
-    second = _key(F.col("line"), F.col("long"), F.col("b"), F.col("e"), 2)
-    groups = entries.groupBy("k1", second.alias("k2")).agg(F.collect_list(F.struct("place", content.alias("part"))).alias("own"))
 
-    def has_earlier(x: Column) -> Column:
-        return F.exists("own", lambda y: (y["place"] < x["place"]) & near(y["part"], x["part"]))
+def _against_first(rows: DataFrame, measure: Measure) -> DataFrame:
+    """rows with done: the line is the earliest of its group, or near it (close)."""
+    first = rows.groupBy("key").agg(F.min(F.struct("place", "units")).alias("first"))
+    close = _within(F.col("first.units"), F.col("units"), measure) & (F.col("first.place") < F.col("place"))
+    told = rows.join(first, "key").withColumn("close", close)
+    return told.withColumn("done", F.col("done") | F.col("close") | (F.col("first.place") == F.col("place"))).drop("first")
 
-    return groups.filter(F.size("own") > 1).select(F.explode(F.filter("own", has_earlier)).alias("x")).select("x.place")
 
+def _part(a: str, n: str, m: str, b: int) -> str:
+    return f"named_struct('a', {a}, 'n', {n}, 'm', {m}, 'b', {b})"
 
-def near_lines(firsts: DataFrame, every: DataFrame) -> DataFrame:
-    """Places (o, h, n) of the distinct lines that have an earlier line one edit away.
 
-    firsts: a row for each distinct line with first (its place) and keys (those of its segments). every: lines()."""
-    entries = firsts.select("first", F.posexplode("keys").alias("segment", "k1"))
-    met = cut(_shared(entries).select("first", "segment", "k1", "many"))
-    places = met.select("first").distinct().select("first.*")
-    few = places.count() <= BROADCAST_ROWS
-    lined = every.select("o", "h", "n", "line").join(F.broadcast(places) if few else places, ["o", "h", "n"]).dropDuplicates(["o", "h", "n"])
-    segment = F.get(F.array(*[F.struct(F.lit(long).alias("long"), b.alias("b"), e.alias("e")) for long, b, e in _segments(F.col("line"))]), F.col("segment"))
-    level = cut(met.join(lined.select(_place().alias("first"), "line"), "first").select(F.col("first").alias("place"), "line", "k1", "many", segment.alias("s")).select("place", "line", "k1", "many", "s.*"))
-    discard(met)
-    found = None
+def _parts(rows: DataFrame, measure: Measure) -> DataFrame:
+    """rows with what lies beside the shared segment: array of (a, n, m, b) for n units at a, beside m units of the index
+    entry, with at most b edits. A line that has its key by several segments gives a row for each."""
+    found = []
+    for k, shorter in _probed(measure):
+        m = f"(n - {shorter})"
+        for j, off in _windows(k, shorter):
+            begin, end = _border(m, j, k + 1), _border(m, j + 1, k + 1)
+            beside = f"array({_part('0', f'{begin} + {off}', begin, j)}, {_part(f'{end} + {off}', f'n - {end} - {off}', f'{m} - {end}', k - j)})"
+            found.append(f"CASE WHEN {_may_have(measure, k, m)} AND {_key(measure, m, k, j, off)} = key THEN {beside} END")
+    valued = rows.withColumns({"value": measure.value(F.col("line")), "n": F.size("units")})
+    parts = valued.withColumn("all", F.expr(f"array_compact(array({', '.join(found)}))"))
+    return parts.select(*[c for c in rows.columns if c != "line"], F.explode_outer("all").alias("parts")).filter("parts IS NOT NULL")
+
+
+def _longest() -> Column:
+    """Index of the part to divide: the longest that is longer than the edits it may have; null if there is none."""
+    ranked = F.transform("parts", lambda p, i: F.struct(F.when((p["b"] > 0) & (p["m"] > p["b"]), p["m"]).otherwise(-1).alias("m"), (-i).alias("i")))
+    best = F.array_max(ranked)
+    return F.when(best["m"] >= 0, -best["i"])
+
+
+def _divided(rows: DataFrame, most: int) -> DataFrame:
+    """rows with their longest part divided into segments: new keys, and two shorter parts in its place."""
+    found = []
+    for b in range(1, most + 1):
+        for j, off in _windows(b):
+            begin, end = _border("part.m", j, b + 1), _border("part.m", j + 1, b + 1)
+            key = f"shiftright(xxhash64(key, longest, {j}, slice(units, part.a + {begin} + {off + 1}, {end} - {begin})), 3)"
+            beside = f"array({_part('part.a', f'{begin} + {off}', begin, j)}, {_part(f'part.a + {end} + {off}', f'part.n - {end} - {off}', f'part.m - {end}', b - j)})"
+            found.append(f"CASE WHEN part.b = {b} AND abs(part.n - part.m - {off}) <= {b - j} THEN named_struct('key', {key}, 'parts', concat(rest, {beside})) END")
+    cuts = rows.withColumns({"part": F.expr("get(parts, longest)"), "rest": F.expr("filter(parts, (p, i) -> i <> longest)")})
+    cuts = cuts.withColumn("all", F.expr(f"array_compact(array({', '.join(found)}))"))
+    return cuts.select("place", "units", "done", F.explode_outer("all").alias("e")).filter("e IS NOT NULL").select("e.key", "place", "units", "e.parts", "done")
+
+
+def _in_blocks(rows: DataFrame, measure: Measure) -> DataFrame:
+    """Places of the lines of large groups that are not done and have an earlier near one, block by block."""
+    blocks = F.ceil(F.col("many") / GROUP).cast("int")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("place"), blocks).cast("int"))
+    own = dealt.groupBy("key", "block").agg(F.collect_set(F.struct("place", "units")).alias("all"))
+    asked = rows.filter(~F.col("done")).select("key", "place", "units", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    return asked.join(own, ["key", "block"]).filter(_has_earlier(F.struct("place", "units"), F.col("all"), measure)).select("place")
+
+
+def near_lines(met: DataFrame, measure: Measure) -> DataFrame:
+    """Places (place) of the lines of _met() that have an earlier near one by a measure."""
+    level = met.select("key", "place", measure.units(F.col("line")).alias("units"), "line", F.lit(False).alias("done"))
+    found, made = [], []
     while True:
-        small = (F.col("many") <= GROUP) | (F.col("e") - F.col("b") <= 1)
-        some = cut(_verified(level.filter(small)))
-        found = some if found is None else found.unionByName(some)
-        large = level.filter(~small)
+        counts = level.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("place").alias("a"), F.max("place").alias("b")).filter("a < b").select("key", "many")
+        level = cut(level.join(counts, "key"))
+        discard(*made)
+        found.append(cut(_compared(level.filter(F.col("many") <= GROUP), measure)))
+        large = level.filter(F.col("many") > GROUP)
         if large.isEmpty():
             break
-        after = cut(_shared(_divided(large)))
+        told = cut(_against_first(large, measure))
         discard(level)
-        level = after
-    return found.distinct().select("place.*")
+        found.append(cut(told.filter("close").select("place")))
+        rest = told.join(told.filter("NOT done").select("key").distinct(), "key", "left_semi")
+        rest = cut((_parts(rest, measure) if "line" in rest.columns else rest).withColumn("longest", _longest()))
+        discard(told)
+        found.append(cut(_in_blocks(rest.filter("longest IS NULL"), measure)))
+        level, made = _divided(rest.filter("longest IS NOT NULL"), len(measure.steps)), [rest]
+    discard(level)
+    out = cut(reduce(DataFrame.unionByName, found).distinct())
+    discard(*found)
+    return out
+
+
+# --- documents -------------------------------------------------------------------------------------------------------
 
 
-def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame, measures: tuple[Measure, ...] = MEASURES) -> DataFrame:
     """(o, h, exact, near): for each document that loses lines, the numbers of its exact and of its near repeats."""
-    every = lines(docs.select("doc_id", "text"), short)
-    keys = F.array(*[_key(F.col("line"), F.lit(long), b, e, 1) for long, b, e in _segments(F.col("line"))])
-    keys = F.when(F.length("line") >= MIN_CHARS, keys)
+    every = lines(docs.select("doc_id", "text"))
     identity = ("l1", "l2", "l3")
-    hashed = cut(every.select("o", "h", "n", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"), F.length("line").alias("l3"), keys.alias("keys")))
-    firsts = cut(hashed.groupBy(*identity).agg(F.min(_place()).alias("first"), F.any_value("keys").alias("keys"), F.count(F.lit(1)).alias("times")))
-    close = near_lines(firsts, every).select(_place().alias("first"), F.lit(True).alias("close"))
-    marked = firsts.select("first", *identity, "times").join(close, "first", "left")
-    marked = cut(marked.select("first", *identity, F.coalesce("close", F.lit(False)).alias("close"), "times").filter("close OR times > 1").drop("times"))
+    hashed = cut(every.select("o", "h", "n", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"), F.length("line").alias("l3")))
+    met = _met(every, measures)
+    near = [near_lines(met.filter(F.col("number") == i), x) for i, x in enumerate(measures)]
+    close = hashed.join(reduce(DataFrame.unionByName, near).distinct().select("place.*"), ["o", "h", "n"]).select(*identity).distinct().select(*identity, F.lit(True).alias("close"))
+    firsts = hashed.groupBy(*identity).agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times"))
+    marked = firsts.join(close, [*identity], "left").filter("close OR times > 1").select(*identity, "first", F.coalesce("close", F.lit(False)).alias("close"))
     repeat = _place() != F.col("first")
-    gone = hashed.select("o", "h", "n", *identity).join(marked, [*identity]).filter(F.col("close") | repeat)
+    gone = hashed.join(cut(marked), [*identity]).filter(F.col("close") | repeat)
     out = cut(gone.groupBy("o", "h").agg(F.collect_set(F.when(repeat, F.col("n"))).alias("exact"), F.collect_set(F.when(~repeat, F.col("n"))).alias("near")))
-    discard(hashed, firsts, marked)
+    discard(hashed, met, *near)
     return out
 
 
-def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_exact, n_near (lines dropped), and text, what is left of it."""
-    return _applied(docs.select("doc_id", "text"), dropped_lines(docs, short)).select(
+    return _applied(docs.select("doc_id", "text"), dropped_lines(docs)).select(
         "doc_id",
         F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_quarry_exact"), F.lit(0)).cast("long").alias("n_exact"),

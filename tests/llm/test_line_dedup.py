@@ -33,16 +33,29 @@ def test_near_against_the_whole_table(spark):
             assert row[f"k{k}"] == (edits(row.a, row.b) <= k), row
 
 
-def brute(rows):
+def allowed(n, steps):
+    return sum(n >= least for least in steps)
+
+
+def is_near(a, b, points=(16,), words=(10, 20, 40)):
+    """Few edits of code points or of words, as the shorter line allows; 0 allowed edits are none at all."""
+    for x, y, steps in ((a, b, points), (a.split(" "), b.split(" "), words)):
+        k = allowed(min(len(x), len(y)), steps)
+        if k and abs(len(x) - len(y)) <= k and edits(x, y) <= k:
+            return True
+    return False
+
+
+def brute(rows, **steps):
     """rows of distinct (doc_id, text): doc_id -> (n_lines, n_exact, n_near, text)."""
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    every = [(n, i, line) for n, (_, t) in enumerate(order) if t is not None for i, line in enumerate(t.split("\n")) if len(line) >= ld.MIN_CHARS]
+    every = [(n, i, line) for n, (_, t) in enumerate(order) if t is not None for i, line in enumerate(t.split("\n")) if line.strip()]
     seen, gone = {}, {}
     for n, i, line in every:
         if line in seen:
             gone[n, i] = seen[line] or "exact"
             continue
-        close = any(abs(len(x) - len(line)) <= 1 and edits(x, line) <= 1 for x in seen)
+        close = any(is_near(x, line, **steps) for x in seen)
         seen[line] = None
         if close:
             gone[n, i] = "near"
@@ -71,24 +84,54 @@ def corpus(seed, n):
     return rows + [(None, "a line of the document without an id\nx"), (1001, None), (1002, "")]
 
 
-@pytest.mark.parametrize("group", [48, 2])
-def test_rows(spark, monkeypatch, group):
+def of_words(seed, n):
+    """Lines of words with some words changed, dropped, doubled or joined."""
+    r = random.Random(seed)
+    base = [[r.choice("a bb ccc dd e fff gg".split()) for _ in range(r.choice([6, 9, 10, 11, 19, 20, 21, 30, 39, 40, 41, 60]))] for _ in range(14)]
+    rows = []
+    for i in range(n):
+        own = []
+        for _ in range(r.randrange(5)):
+            line = list(r.choice(base))
+            for _ in range(r.choice([0, 1, 1, 2, 3, 4])):
+                at = r.randrange(len(line) + 1)
+                line[at : at + r.randrange(2)] = r.choice([[], ["q"], ["zz"], ["q", "e"]])
+            own.append(" ".join(line))
+        rows.append((i, "\n".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("group,make", [(48, corpus), (2, corpus), (48, of_words), (2, of_words)])
+def test_rows(spark, monkeypatch, group, make):
     monkeypatch.setattr(ld, "GROUP", group)
-    monkeypatch.setattr(ld, "DIVISION", 3)
     monkeypatch.setattr(ld, "BROADCAST_ROWS", 0 if group == 2 else 1000)
-    rows = corpus(group, 60)
+    rows = make(group, 60)
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int")
     got = {r.doc_id: tuple(r)[1:] for r in ld.dedup_lines(docs).collect()}
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_any_number_of_edits(spark, monkeypatch, k):
+    """A measure of k edits of code points for all lines from 12 on, in groups that have to be divided, against all pairs."""
+    monkeypatch.setattr(ld, "GROUP", 3)
+    steps = (12,) * k
+    rows = corpus(10 + k, 50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    measure = ld.POINTS._replace(steps=steps, holds=lambda line: F.lit(True))
+    gone = ld.dropped_lines(docs, (measure,))
+    got = {r.o: (len(r.exact), len(r.near)) for r in gone.collect()}
+    want = {i if i is not None else ld._LEAST: (e, n) for i, (_, e, n, _) in brute(rows, points=steps, words=()).items() if e or n}
+    assert got == want
+
+
 def test_cleaned(spark):
     same = "this line is in both of the documents"
     rows = [(1, f"{same}\nand this one is of its own, only here", 9, "a"), (2, same, 9, "b"), (3, "", 0, "c"), (4, None, None, "d"), (5, "short\nshort", 11, "e"), (5, "short\nshort", 11, "e"), (6, f"{same}!\nrest", 9, "f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, first string").withColumnRenamed("first", "o.h")
     left = ld.cleaned(docs)
     assert left.columns == docs.columns
-    assert sorted([tuple(r) for r in left.collect()]) == sorted([(1, rows[0][1], 9, "a"), (3, "", 0, "c"), (4, None, None, "d"), (5, "short\nshort", 11, "e"), (5, "short\nshort", 11, "e"), (6, "rest", 4, "f")])
+    assert sorted([tuple(r) for r in left.collect()]) == sorted([(1, rows[0][1], 9, "a"), (3, "", 0, "c"), (4, None, None, "d"), (5, "short", 5, "e"), (5, "short", 5, "e"), (6, "rest", 4, "f")])
 
 
 def test_repeated_rows_and_empty(spark):
@@ -99,6 +142,13 @@ def test_repeated_rows_and_empty(spark):
     assert ld.dedup_lines(docs.limit(0)).count() == 0 and ld.cleaned(docs.limit(0)).count() == 0
 
 
+def test_one_very_long_line(spark):
+    words = ["w%d" % (i % 977) for i in range(60_000)]
+    other = [*words[:30_000], "new", *words[30_002:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(other[:-4]))], "doc_id long, text string")
+    assert {r.doc_id: r.n_near for r in ld.dedup_lines(docs).collect()} == {1: 0, 2: 1, 3: 0}
+
+
 def test_long_lines_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(ld, "GROUP", 4)
     stem = "".join(random.Random(4).choice("abcdefgh ") for _ in range(900))
@@ -107,13 +157,13 @@ def test_long_lines_of_a_large_group(spark, monkeypatch):
     got = {r.doc_id: (r.n_exact, r.n_near) for r in ld.dedup_lines(docs).collect()}
     texts = dict(rows)
     for i, (exact, near) in got.items():
-        want = any(j < i and abs(len(texts[j]) - len(texts[i])) <= 1 and edits(texts[j][650:], texts[i][650:]) <= 1 for j in texts)
+        want = any(j < i and is_near(texts[j], texts[i], points=()) for j in texts)
         assert (exact, near) == (0, int(want))
     assert list(itertools.islice(got, 1))
 
 
 def test_query_drops_short_repeats(spark, tmp_path):
-    """Non-blank lines under MIN_CHARS go where an earlier one is equal; near ones and blank ones stay."""
+    """Short lines that are not blank go where an earlier one is equal; near ones and blank ones stay."""
     from quarry.llm.queries import QUERIES
 
     rows = [(1, "Les.\nRead more\n\n  \nLes."), (2, "Read more\nread more\n\n  \nx"), (3, "x\na line that is long enough to count"), (4, "a line that is long enough to count!\nLes")]

@@ -8,10 +8,11 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 
 import corpus_pipeline
+import test_line_dedup
 import test_packing
 import test_simhash
 
-from quarry.llm import decontaminate, line_dedup
+from quarry.llm import decontaminate
 from quarry.llm.queries import tokenizer_path
 from quarry.session import cut
 
@@ -30,15 +31,6 @@ def rows(frame):
     return {r.doc_id: r for r in frame.collect()}
 
 
-def one_edit(a, b):
-    """Whether two different strings are one edit apart."""
-    if abs(len(a) - len(b)) > 1:
-        return False
-    p = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    a, b = a[p:], b[p:]
-    return a[1:] == b[1:] or a[1:] == b or a == b[1:]
-
-
 def test_columns(outputs):
     assert [f.columns for f in outputs[1:-1]] == [outputs[0].columns] * 4
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontaminate", "pack"]
@@ -54,18 +46,24 @@ def test_quality(outputs, spark):
 
 def test_lines(outputs):
     before, after = rows(outputs[1]), rows(outputs[2])
-    seen, by_length = set(), {}
+    lines = sorted({line for r in before.values() for line in r.text.split("\n") if line.strip()})
+    shared = {}
+    for n, line in enumerate(lines):  # a near pair has two words in a row in common, or is short
+        own = line.split(" ")
+        for gram in {("short", len(line) // 3 + d) for d in (0, 1) if len(own) < 12} | set(zip(own, own[1:])):
+            shared.setdefault(gram, []).append(n)
+    near = {}
+    for own in shared.values():
+        for a in own:
+            near.setdefault(lines[a], set()).update(lines[b] for b in own if a != b and abs(len(lines[a]) - len(lines[b])) < 60)
+    seen = set()
     for i in sorted(before):
         left = []
         for line in before[i].text.split("\n"):
-            if len(line) < line_dedup.MIN_CHARS:
+            if not line.strip() or line not in seen and not any(x in seen and test_line_dedup.is_near(x, line) for x in near.get(line, ())):
                 left.append(line)
-                continue
-            if line not in seen:
-                if not any(one_edit(line, x) for n in (-1, 0, 1) for x in by_length.get(len(line) + n, ())):
-                    left.append(line)
+            if line.strip():
                 seen.add(line)
-                by_length.setdefault(len(line), []).append(line)
         text = "\n".join(left)
         if text.strip() or text == before[i].text:
             assert after[i].text == text and after[i].n_chars == len(text)
