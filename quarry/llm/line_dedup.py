@@ -2,9 +2,9 @@
 
 A line (text between line feeds) that is not blank goes if an earlier one, by (doc_id, line number), is equal to it or near
 it. "Earlier" looks at all lines, kept or not, so the result does not depend on an order of work. Near means few edits
-(insertions, deletions, substitutions) in units of a kind: one code point from 16 code points on, and one, two or three
-words from 10, 20 and 40 words on (words stand between single blanks; at most a tenth of a line's words). The shorter line
-decides how many edits a pair may have. Each Measure has such a threshold for each length, for any number of edits.
+(insertions, deletions, substitutions) in units of a kind: one code point for lines of 16 code points to SHORT words, and one
+word for lines of 10 words and more (words stand between single blanks). The shorter line decides how many edits a pair may
+have. Each Measure has such a threshold for each length; the join works for any number of edits.
 
 Method. A line of n units that may have k edits is split into k + 1 segments, each an index entry under its content, its
 number and n. One of them is whole in every line within k edits, with at most j edits before the j-th segment and k - j
@@ -14,7 +14,7 @@ the few places where that can be. Lines that meet under a key are verified by th
 Groups. Only keys that two different lines share are looked at further. In a group of more than GROUP lines, all are
 compared with the earliest one; where some are left that are not near it, the group is divided: the longest part beside
 the shared segments has j of the edits left, so its own j + 1 segments become part of the key, with the lengths and places
-as before. That goes on until groups are small or their parts are no longer than the edits left. What then is still in a
+as before (for one edit, all but one of DIVISION segments). That goes on until groups are small or their parts are no longer than the edits left. What then is still in a
 large group is compared in blocks of about GROUP lines. A row stands for a line and a block, never for a pair, no list
 grows beyond a group's bound, and every near pair is looked at.
 
@@ -73,17 +73,17 @@ def _words(line: Column) -> Column:
     return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
 
 
-WORDS = Measure("words", _words, F.size, "slice", _words, (10, 20, 40))
-#: One edit of a code point is at most two edits of words (a word parted in two), so lines of more than WORDS.steps[1] words
-#: are left to the words.
+WORDS = Measure("words", _words, F.size, "slice", _words, (10,))
+#: Words up to which a line is measured by code points as well.
+SHORT = 20
 POINTS = Measure(
-    "points", lambda line: line, F.length, "substring", _points, (16,), lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) < WORDS.steps[1]
+    "points", lambda line: line, F.length, "substring", _points, (16,), lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) < SHORT
 )
 MEASURES = (POINTS, WORDS)
-#: Lines of a group that are compared with each other.
-GROUP = 48
+#: Lines of a group that are compared with each other, and segments that a part with one edit is divided into.
+GROUP, DIVISION = 48, 8
 #: Shared keys (8 bytes each) that may be broadcast, after counting.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 _LEAST = -(1 << 63)
 
 
@@ -273,7 +273,13 @@ def _longest() -> Column:
 def _divided(rows: DataFrame, most: int) -> DataFrame:
     """rows with their longest part divided into segments: new keys, and two shorter parts in its place."""
     found = []
-    for b in range(1, most + 1):
+    for j in range(DIVISION):  # one edit: all but one of the segments are whole, counted from both ends
+        begin, end = _border("part.m", j, DIVISION), _border("part.m", j + 1, DIVISION)
+        around = f"slice(units, part.a + 1, {begin}), slice(units, part.a + part.n - part.m + {end} + 1, part.m - {end})"
+        inside = f"array({_part(f'part.a + {begin}', f'part.n - part.m + {end} - {begin}', f'{end} - {begin}', 1)})"
+        fits = f"part.b = 1 AND abs(part.n - part.m) <= 1 AND {end} > {begin} AND part.n - part.m + {end} - {begin} >= 0"
+        found.append(f"CASE WHEN {fits} THEN named_struct('key', shiftright(xxhash64(key, longest, {j}, {around}), 3), 'parts', concat(rest, {inside})) END")
+    for b in range(2, most + 1):
         for j, off in _windows(b):
             begin, end = _border("part.m", j, b + 1), _border("part.m", j + 1, b + 1)
             key = f"shiftright(xxhash64(key, longest, {j}, slice(units, part.a + {begin} + {off + 1}, {end} - {begin})), 3)"
