@@ -61,8 +61,30 @@ def changed(a: DataFrame, b: DataFrame, key: str, *columns: str) -> DataFrame:
 
 
 def content_digest(rows: DataFrame, key: str, value: Column) -> DataFrame:
-    """One row: number of rows and an order-independent digest of (key, value)."""
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.coalesce(F.bit_xor(F.xxhash64(F.col(key), value)), F.lit(0)).cast("string"), 256).alias("digest"))
+    """One row: number of rows and an order-independent digest of (key, value). Two sums of row hashes under different seeds
+    make it, exact in 38 digits, so repeated rows count as often as they occur; nulls are told apart from empty texts."""
+    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), F.col(key), F.col(key).isNull(), value, value.isNull()).cast("decimal(28,0)")), F.lit(0)).cast("string") for seed in (1, 2)]
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws(":", *sums), 256).alias("digest"))
+
+
+def config_differences(a, b, path: str = "", ignored: frozenset[str] = frozenset()) -> list[str]:
+    """Where two nested configurations (dicts, lists, values) differ, by path, as messages; ignored paths are passed over."""
+    if path in ignored:
+        return []
+    if isinstance(a, dict) and isinstance(b, dict):
+        lacking = [f"{path}.{k}".lstrip(".") + (": only in the first" if k in a else ": only in the second") for k in sorted(a.keys() ^ b.keys(), key=str)]
+        lacking = [x for x in lacking if x.split(":")[0] not in ignored]
+        return lacking + [x for k in sorted(a.keys() & b.keys(), key=str) for x in config_differences(a[k], b[k], f"{path}.{k}".lstrip("."), ignored)]
+    if isinstance(a, list) and isinstance(b, list) and len(a) == len(b):
+        return [x for i, (p, q) in enumerate(zip(a, b)) for x in config_differences(p, q, f"{path}[{i}]", ignored)]
+    return [] if type(a) is type(b) and a == b else [f"{path or '.'}: {a!r} is not {b!r}"]
+
+
+def over_budget(rows: DataFrame, key: str, parts: list[str], limit: Column) -> DataFrame:
+    """Keys whose token counts (null counts nothing) are negative or add up to more than their limit, with the sum."""
+    counts = [F.coalesce(F.col(p), F.lit(0)) for p in parts]
+    total = reduce(lambda a, b: a + b, counts)
+    return rows.select(key, total.alias("total"), limit.alias("limit"), F.least(*counts, F.lit(0)).alias("_least")).filter("total > limit OR _least < 0").drop("_least")
 
 
 def require(violations: DataFrame, what: str) -> None:

@@ -210,7 +210,8 @@ def translation_checks(spark, sf_dir):
 
     own = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.regexp_replace("text", "[0-4]", "7")).alias("target"))
     told = own.select("doc_id", translation_issues(0.5, 2.0)("text", "target").alias("issues"))
-    return told.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+    named = told.select(F.explode("issues").alias("issue")).select(F.regexp_extract("issue", "^(?:soft:)?[^:]+", 0).alias("issue"))
+    return named.groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("review_queue", """SELECT doc_id, n_bad, chars FROM (SELECT doc_id, (length(text) > 5000)::BIGINT + (lang <> 'en')::BIGINT AS n_bad, length(text) AS chars FROM documents) WHERE n_bad > 0 ORDER BY n_bad DESC, chars DESC, doc_id""")

@@ -41,9 +41,15 @@ def _own_scratch() -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut lineage. Only where it is unset (tests, one machine) a temporary folder stands in."""
+    """The cluster's shared folder for cut lineage. Where it is unset, a temporary folder stands in on one machine (a local
+    master); on a cluster that is an error, since executors would each write to a disk of their own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    return named or _own_scratch()
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return _own_scratch()
 
 
 def cut(df: DataFrame, *sort: str) -> DataFrame:

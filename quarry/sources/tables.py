@@ -6,11 +6,13 @@ import json
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators import checks
+from quarry.session import ship
 
 CORRUPT = "_corrupt"
 
@@ -76,7 +78,30 @@ def recovered(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, D
 def discovered(spark: SparkSession, root: str, pattern: str, most_bytes: int) -> DataFrame:
     """Files below a folder by name pattern and size, with their digests."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return files.filter(F.col("length") <= most_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return _digests(files.filter(F.col("length") <= most_bytes))
+
+
+def _file_digest(path: str) -> str:
+    """SHA-256 of a file of any size, read in pieces."""
+    import hashlib
+
+    from pyarrow import fs
+
+    store, inside = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    digest = hashlib.sha256()
+    with store.open_input_stream(inside) as stream:
+        while piece := stream.read(8 << 20):
+            digest.update(piece)
+    return digest.hexdigest()
+
+
+def _digests(files: DataFrame) -> DataFrame:
+    """(path, length, sha256) of listed files. The content column is never read, so no file has to fit into one row."""
+
+    def digests(paths: pd.Series) -> pd.Series:
+        return paths.map(_file_digest)
+
+    return files.select("path", "length").select("path", "length", F.pandas_udf(digests, "string")("path").alias("sha256"))
 
 
 def step_log_profile(lines: DataFrame, by: str, text: str) -> DataFrame:
@@ -116,7 +141,7 @@ def write_csv(frames: list[DataFrame], path: str) -> None:
 
 def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Digest and size of every file below the paths: the marker that a consumer checks before it reads."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return _digests(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths))
 
 
 def manifest_violations(spark: SparkSession, marker: DataFrame, paths: list[str]) -> DataFrame:
@@ -145,3 +170,6 @@ def shard_names(names: list[str]) -> list[str]:
     if len(totals) != 1 or sorted(i for i, _ in found) != list(range(totals.pop())):
         raise ValueError("the shards are not complete")
     return [found[k] for k in sorted(found)]
+
+
+ship(__name__)

@@ -19,16 +19,17 @@ def filtered_to(stream: DataFrame, tag, out: str, checkpoint: str) -> None:
     that is run again replaces its own part."""
 
     def write(batch: DataFrame, number: int) -> None:
-        told = tag(batch).withColumn("batch", F.lit(number)).withColumn("kind", F.when(F.col("reason").isNull(), "kept").otherwise("removed"))
-        told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "kind").parquet(out)
+        told = tag(batch).withColumn("kind", F.when(F.col("reason").isNull(), "kept").otherwise("removed"))
+        told.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("kind").parquet(f"{out}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def latest_status(rows: DataFrame, key: str, attempt: str) -> DataFrame:
-    """The row of the highest attempt for each key; works on streams (complete mode) and tables alike."""
-    others = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(attempt)).alias("_r")).select(key, "_r.*")
+    """The row of the highest attempt for each key, of several with one attempt the greatest as JSON text; works on streams
+    (complete mode) and tables alike."""
+    own = F.struct(*[c for c in rows.columns if c != key])
+    return rows.groupBy(key).agg(F.max_by(own, F.struct(F.col(attempt), F.to_json(own))).alias("_r")).select(key, "_r.*")
 
 
 def to_retry(latest: DataFrame, status: str, done: str = "complete") -> DataFrame:

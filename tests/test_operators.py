@@ -144,3 +144,51 @@ def test_prompts(spark):
         one.select(examples.chat(F.lit("a"), F.lit("<|im_end|>"))).collect()
     with pytest.raises(Exception, match="unknown prompt wrapper"):
         one.select(examples.unwrapped(F.lit("else"), "Solve:")).collect()
+
+
+def test_content_digest_counts_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import checks
+
+    def digest(rows):
+        return tuple(checks.content_digest(spark.createDataFrame(rows, "k long, v string"), "k", F.col("v")).first())
+
+    assert digest([(1, "a"), (1, "a")]) != digest([(2, "b"), (2, "b")]) != digest([(1, None), (1, None)])
+    assert digest([(1, "a"), (2, "b")]) == digest([(2, "b"), (1, "a")]) != digest([(1, "b"), (2, "a")])
+    assert digest([(1, None)]) != digest([(1, "")]) and digest([]) == digest([])
+
+
+def test_config_differences():
+    from quarry.operators.checks import config_differences
+
+    assert config_differences({"a": 1, "b": [1, {"c": 2}]}, {"a": 1, "b": [1, {"c": 2}]}) == []
+    assert config_differences({"a": 1, "b": [1, {"c": 2}], "x": 0}, {"a": 1.0, "b": [1, {"c": 3}], "y": 0}) == ["x: only in the first", "y: only in the second", "a: 1 is not 1.0", "b[1].c: 2 is not 3"]
+    assert config_differences({"a": 1, "t": 2}, {"a": 1, "t": 3}, ignored=frozenset({"t"})) == []
+
+
+def test_batch_schedule():
+    from quarry.operators.pool import batch_schedule
+
+    assert batch_schedule(10, 4, 3) == {"steps_per_epoch": 3, "steps": 9, "last_batch": 2} and batch_schedule(8, 4, 1)["last_batch"] == 4
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from quarry import session
+
+    far = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: {}), conf={})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_dir(far)
+    assert session.scratch_dir(spark)
+
+
+def test_latest_status_breaks_ties(spark):
+    from quarry.streaming.journal import latest_status
+
+    rows = [(1, 2, "a"), (1, 2, "b"), (1, 1, "z")]
+    for own in (rows, rows[::-1]):
+        assert [tuple(r) for r in latest_status(spark.createDataFrame(own, "id long, attempt int, status string"), "id", "attempt").collect()] == [(1, 2, "b")]
