@@ -2,10 +2,10 @@
 
 Base: places where a phrase's words stand consecutively among a text's words (runs of a-z, 0-9 and characters beyond
 ASCII, A-Z lower-cased). Method: hand-written regexes over the lower-cased text in order of priority. Each is gated by
-keywords: one automaton over all keywords reads a text once, and only the rules whose keyword occurs run. Where detections
-overlap, one that lies within another of at least its priority is suppressed, and of equal spans the earlier rule stays, so
-"GNU Lesser General Public License v2.1" is lgpl-2.1 and not also gpl. Labels are the base labels and the labels of the
-detections that remain; score is the strength of the best of them.
+keywords: one automaton over all keywords reads a text once, and only the rules whose keyword occurs run. Of detections
+that overlap, the one of higher priority stays: the stronger, then the longer, so that contained ones give way, then the
+earlier rule. "GNU Lesser General Public License v2.1" is one detection, of lgpl-2.1; its base label gpl stands beside it.
+Labels are the base labels and the labels of the detections that remain; score is the strength of the best of them.
 
 Scale. One pass over the texts, no shuffle. Texts without any keyword (most) cost the automaton and a vectorised word
 count only. Every regex has bounded gaps, so a scan is linear in the text.
@@ -17,6 +17,7 @@ rows; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -372,19 +373,24 @@ def _automaton():
     return out
 
 
+def candidates(text: str, gated: bool = True) -> list[tuple[int, int, Rule]]:
+    """All detections of a lower-cased text by the rules whose keyword occurs; not gated, by all rules."""
+    active = sorted({order for _, (_, orders) in keywords().iter(text) for order in orders}) if gated else range(len(rules()))
+    return [(m.start(), m.end(), rules()[order]) for order in active for m in rules()[order].regex.finditer(text)]
+
+
 def detections(text: str) -> list[tuple[int, int, Rule]]:
-    """Detections of a lower-cased text that no other one suppresses, by start."""
-    active = sorted({order for _, (_, orders) in keywords().iter(text) for order in orders})
-    found = [(m.start(), m.end(), rules()[order]) for order in active for m in rules()[order].regex.finditer(text)]
-    found.sort(key=lambda d: (d[0], -d[1], -d[2].strength, d[2].order))
-    out: list[tuple[int, int, Rule]] = []
-    for start, end, rule in found:
-        while out and out[-1][1] < end and out[-1][0] == start:
-            out.pop()
-        if any(a <= start and end <= b and (rule.strength, -rule.order) <= (r.strength, -r.order) or (a <= start and end <= b and b - a > end - start) for a, b, r in out[-8:]):
+    """Detections of a lower-cased text that no other one suppresses, by start. They are taken by priority: the stronger,
+    then the longer, then the earlier rule, then the earlier place; one that a taken one holds or overlaps is left out."""
+    starts: list[int] = []
+    taken: list[tuple[int, int, Rule]] = []
+    for found in sorted(candidates(text), key=lambda d: (-d[2].strength, d[0] - d[1], d[2].order, d[0])):
+        at = bisect_right(starts, found[0])
+        if at and taken[at - 1][1] > found[0] or at < len(taken) and starts[at] < found[1]:
             continue
-        out.append((start, end, rule))
-    return out
+        starts.insert(at, found[0])
+        taken.insert(at, found)
+    return taken
 
 
 def n_words(data: bytes) -> int:

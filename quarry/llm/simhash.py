@@ -35,6 +35,8 @@ from quarry.operators.components import connected_components
 from quarry.session import cut, discard, ship
 
 WORDS, SEED, THRESHOLD = 4, 42, 4
+#: Words of a shingle where one_of_each() thins out a corpus.
+STAGE_WORDS = 5
 #: First bit and width of each part.
 PARTS = ((0, 21), (21, 21), (42, 22))
 #: Fingerprints at one anchor beyond which it is dealt out anew, and in a group of a task beyond which it is divided.
@@ -43,18 +45,18 @@ HOT, LARGE = 100_000, 4096
 COUNTED = 200_000
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit fingerprint of a text."""
+def fingerprint(text: str | None, n: int = WORDS) -> int:
+    """The 64-bit fingerprint of a text by its n-word shingles."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z change, only ASCII space splits
     if not words:
         return 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    if len(words) <= WORDS:
+    if len(words) <= n:
         hashes = [xxhash.xxh64_intdigest(joined, SEED)]
     else:
-        starts = np.concatenate(([0], ends[: -WORDS])).tolist()
-        stops = (ends[WORDS - 1 :] - 1).tolist()
+        starts = np.concatenate(([0], ends[:-n])).tolist()
+        stops = (ends[n - 1 :] - 1).tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, stops)]
     counts = np.zeros(64, np.int64)
@@ -65,16 +67,16 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in text_slices(batch, 1):
-            prints = np.array([fingerprint(t) for t in part.column(1).to_pylist()], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.int64()), part.column(2)], names=["doc_id", "fp", "h"])
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """(doc_id, fp, h) per row of docs: the fingerprint as a signed long, and the text's hash, which tells apart rows of
     one doc_id."""
+
+    def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, 1):
+                prints = np.array([fingerprint(t, n) for t in part.column(1).to_pylist()], "<u8").view("<i8")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.int64()), part.column(2)], names=["doc_id", "fp", "h"])
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long, h long")
 
@@ -246,8 +248,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, in its own columns: that of the smallest doc_id (null ones come last), then of
-    the smallest hash of the text; of equal rows one."""
-    prints = cut(fingerprints(docs))
+    the smallest hash of the text; of equal rows one. Shingles have STAGE_WORDS words here, as near-duplicate stages do."""
+    prints = cut(fingerprints(docs, STAGE_WORDS))
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("h"))
     chosen = cut(_rooted(prints, F.min(rank)).groupBy("root").agg(F.min("first").alias("first")).select("first.*"))
     discard(prints)

@@ -48,6 +48,22 @@ def test_containment():
     assert spans.count(":") == 2 and spans.startswith("agpl-3.0:")
 
 
+def test_gate_and_priority_against_brute_force():
+    """Rules behind keywords find what all rules find, and what stays is what pairwise comparison by priority leaves."""
+    r = random.Random(3)
+    pieces = ["gnu lesser general public license v2.1", "gnu affero general public license", "version 3", "licensed under the apache license, version 2.0", "mit license", "the mit", "spdx-license-identifier: gpl-2.0-or-later", "bsd", "3-clause bsd license", "permission is hereby granted, free of charge, to any person obtaining a copy", "creativecommons.org/licenses/by-sa/4.0/", "mozilla public license 2.0", "or", "\n", ", ", "x"]
+    for _ in range(150):
+        text = " ".join(r.choice(pieces) for _ in range(r.randrange(14)))
+        every = licenses.candidates(text, gated=False)
+        key = lambda d: (-d[2].strength, d[0] - d[1], d[2].order, d[0])
+        assert sorted(licenses.candidates(text), key=key) == sorted(every, key=key)
+        stay = []
+        for d in sorted(every, key=key):
+            if all(d[1] <= x[0] or x[1] <= d[0] for x in stay):
+                stay.append(d)
+        assert licenses.detections(text) == sorted(stay, key=lambda d: d[0])
+
+
 def test_rows(spark):
     texts = [None, "", "mit license", "mit license", "x " * 300_000 + "MIT License", "license " * 20_000]
     frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, score int")

@@ -74,7 +74,7 @@ def test_lines(outputs):
 
 def test_near_duplicates(outputs):
     before, after = rows(outputs[2]), rows(outputs[3])
-    labelled = test_simhash.brute_components([(i, test_simhash.brute_print(before[i].text)) for i in sorted(before)])
+    labelled = test_simhash.brute_components([(i, test_simhash.brute_print(before[i].text, 5)) for i in sorted(before)])
     assert after.keys() == {component for _, _, component in labelled}
     assert all(after[i] == before[i] for i in after)
 

@@ -9,11 +9,11 @@ from quarry.llm import simhash
 from quarry.operators.components import connected_components
 
 
-def brute_print(text):
+def brute_print(text, n=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    shingles = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
