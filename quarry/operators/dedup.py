@@ -1,10 +1,12 @@
 """Exact and near duplicates, representatives, answer conflicts, and greedy deduplication of solutions.
 
-Near duplicates are exact: rows whose distinct word n-gram sets have a Jaccard similarity at or above the threshold link,
-and components of links are clusters. Equal normal forms are collapsed first. Of two sets that reach the threshold t, each
-has one of its n - ceil(t n) + 1 rarest n-grams in common with the other's (the prefix filter, under one global order by
-document frequency and hash, so that frequent n-grams are no keys); lengths must agree within t; candidates are verified on
-the whole sets within the join, which thus yields links only.
+Near duplicates: rows whose distinct word n-gram sets have a Jaccard similarity at or above the threshold link, and
+components of links are clusters. Equal normal forms are collapsed first, and n-grams are 64-bit hashes of hashed words.
+Of two sets that reach the threshold t, each has one of its first n - ceil(t n) + 1 n-grams in common with the other's
+(the prefix filter, under one global order that puts n-grams of more than COMMON sets last, by frequency, so that frequent
+ones are keys only of sets that hold little else). At the first shared one, what can follow must be enough for t (the
+positional filter, which implies that lengths agree). Candidates are verified on the whole sets, so every link is found
+and none is estimated.
 
 Null texts count as empty; repeated rows are each other's duplicates; empty tables give no rows.
 """
@@ -19,6 +21,11 @@ from quarry.functions import text as T
 from quarry.operators.components import connected_components
 from quarry.session import cut, ship
 
+#: Sets that hold an n-gram from which on it counts as common; it shapes the order and changes no result.
+COMMON = 16
+#: What rounding may add to a bound.
+SLACK = 1e-9
+
 
 def exact_clusters(rows: DataFrame, normal=T.normal_lexical) -> DataFrame:
     """id, root (the smallest id of an equal normal form), members. rows: id, text.
@@ -30,32 +37,52 @@ def exact_clusters(rows: DataFrame, normal=T.normal_lexical) -> DataFrame:
     return own.join(counted, "digest").select("id", "root", "members")
 
 
-def near_links(rows: DataFrame, n: int = 5, threshold: float = 0.8, normal=T.normal_lexical) -> DataFrame:
-    """(u, v, similarity) for u < v: links between distinct normal forms, each under its smallest id."""
-    forms = rows.select("id", normal(F.coalesce("text", F.lit(""))).alias("normal")).groupBy("normal").agg(F.min("id").alias("id"))
-    sets = cut(forms.select("id", T.shingles(F.col("normal"), n).alias("grams")).withColumn("size", F.size("grams")))
-    counted = sets.select("id", "size", F.explode("grams").alias("gram"))
-    often = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    # n-grams of one set only can be in no other prefix, but hold places in the order before all shared ones
-    shared = counted.join(often, "gram").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("often", F.xxhash64("gram").alias("h"), "gram"))).alias("own"))
-    keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")).cast("int") + 1
-    alone = F.col("size") - F.size("own")
-    prefix = F.slice("own", 1, F.greatest(keep - alone, F.lit(0)))
-    keys = shared.select("id", "size", F.explode(F.transform(prefix, lambda x: x["gram"])).alias("gram"))
-    a, b = keys.select(F.col("id").alias("u"), F.col("size").alias("nu"), "gram"), keys.select(F.col("id").alias("v"), F.col("size").alias("nv"), "gram")
-    fits = (F.col("u") < F.col("v")) & (F.col("nv") >= F.lit(threshold) * F.col("nu")) & (F.col("nu") >= F.lit(threshold) * F.col("nv"))
-    candidates = a.join(b, "gram").filter(fits).select("u", "v").distinct()
+def _forms(rows: DataFrame, n: int, normal) -> DataFrame:
+    """(id, digest, grams) of each row: its normal form's digest and n-gram hashes."""
+    own = rows.select("id", normal(F.coalesce("text", F.lit(""))).alias("normal"))
+    return own.select("id", F.sha2("normal", 256).alias("digest"), T.shingle_hashes(F.col("normal"), n).alias("grams"))
+
+
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(gram, id, size, at) of the first n-grams of each set, rare ones by hash, then common ones by frequency and hash.
+
+    The common ones of a set, and only those, are gathered by id; no set of all n-grams is brought together again."""
+    each = sets.select("id", F.explode("grams").alias("gram"))
+    common = cut(each.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).filter(F.col("often") > COMMON))
+    held = each.join(common, "gram").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("held"))
+    told = sets.join(held, "id", "left").withColumn("held", F.coalesce(F.transform("held", lambda x: x["gram"]), F.array().cast("array<bigint>")))
+    keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - SLACK).cast("int") + 1
+    prefix = F.slice(F.concat(F.array_except("grams", "held"), "held"), 1, F.least(keep, F.col("size")))
+    return told.select("id", "size", F.posexplode(prefix).alias("at", "gram"))
+
+
+def _links(forms: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, similarity) for the distinct forms of _forms()."""
+    sets = cut(forms.groupBy("digest").agg(F.min_by("grams", "id").alias("grams"), F.min("id").alias("id")).select("id", F.size("grams").alias("size"), "grams"))
+    keys = cut(_prefixes(sets, threshold))
+    a = keys.select("gram", F.col("id").alias("u"), F.col("size").alias("nu"), F.col("at").alias("i"))
+    b = keys.select("gram", F.col("id").alias("v"), F.col("size").alias("nv"), F.col("at").alias("j"))
+    # at the first n-gram that two sets share, no more than the rest of the shorter one can follow
+    possible = F.least(F.col("nu") - F.col("i"), F.col("nv") - F.col("j"))
+    wanted = F.lit(threshold / (1 + threshold)) * (F.col("nu") + F.col("nv")) - SLACK
+    candidates = a.join(b, "gram").filter((F.col("u") < F.col("v")) & (possible >= wanted)).select("u", "v").distinct()
     left, right = sets.select(F.col("id").alias("u"), F.col("grams").alias("gu")), sets.select(F.col("id").alias("v"), F.col("grams").alias("gv"))
     both = F.size(F.array_intersect("gu", "gv"))
-    similarity = both / (F.size("gu") + F.size("gv") - both)
-    return candidates.join(left, "u").join(right, "v").select("u", "v", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
+    told = candidates.join(left, "u").join(right, "v").select("u", "v", (F.size("gu") + F.size("gv")).alias("sizes"), both.alias("both"))
+    return told.select("u", "v", (F.col("both") / (F.col("sizes") - F.col("both"))).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
+def near_links(rows: DataFrame, n: int = 5, threshold: float = 0.8, normal=T.normal_lexical) -> DataFrame:
+    """(u, v, similarity) for u < v: links between distinct normal forms, each under its smallest id."""
+    return _links(_forms(rows, n, normal), threshold)
 
 
 def near_clusters(rows: DataFrame, n: int = 5, threshold: float = 0.8, normal=T.normal_lexical) -> DataFrame:
     """id, root: every row with the smallest id of its cluster, exact duplicates included."""
-    exact = exact_clusters(rows, normal).select("id", F.col("root").alias("node"))
-    linked = connected_components(near_links(rows, n, threshold, normal))
-    return exact.join(linked, "node", "left").select("id", F.coalesce("component", "node").alias("root"))
+    forms = cut(_forms(rows, n, normal))
+    firsts = forms.groupBy("digest").agg(F.min("id").alias("node"))
+    linked = connected_components(_links(forms, threshold))
+    return forms.select("id", "digest").join(firsts, "digest").join(linked, "node", "left").select("id", F.coalesce("component", "node").alias("root"))
 
 
 def representatives(members: DataFrame, cluster: str, order: list[Column]) -> DataFrame:
