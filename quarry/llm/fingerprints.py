@@ -5,10 +5,11 @@ ASCII white space, lower-cased; a text of fewer words is one shingle; a text wit
 merge: the K smallest of the union are the sketch of the texts together. From two sketches follow, over the K smallest
 hashes of their union, the resemblance (share of them that both hold), the containment and the number of distinct shingles.
 
-The query pairs every document with the next one by doc_id. Documents are dealt to buckets of consecutive ids (about
-BUCKET_ROWS each, borders from approximate quantiles, at most MOST_BUCKETS); the first rows of each bucket are also given
-to the bucket before it (and of the first to the last), so that "next" is a window inside a bucket and the texts are
-shuffled once.
+The query pairs every document with the next one by (doc_id, hash of the text). Documents are dealt to buckets of about
+BUCKET_ROWS rows (more beyond MOST_BUCKETS buckets: 2 GB of text each at 100 TB). The borders come from a random sample of
+the ids, about SAMPLED a bucket, and shape the work only, never a result; an id with the rows of HOT buckets is cut into
+parts by the hash of its texts. The first rows of each bucket are also given to the bucket before it (and of the first to
+the last), so that "next" is a window inside a bucket and the texts are shuffled once.
 
 Defined cases: a null text is empty; two empty sketches are alike (1), an empty and another are not (0); null doc_ids
 come first; rows of one doc_id are ordered by the hash of their text, and of equal rows each other's next may be either;
@@ -20,10 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound, interval_of
+from quarry.llm.common import bound
 
 K, WORDS = 128, 5
-BUCKET_ROWS, MOST_BUCKETS = 1000, 10_000
+BUCKET_ROWS, MOST_BUCKETS = 1000, 50_000
+SAMPLED, HOT = 8, 4
 _SPACE = r"[\x20\x09-\x0D]+"
 _LEAST = -(1 << 63)
 
@@ -85,27 +87,69 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
+def _place() -> Column:
+    """Where a document stands among all: by its id, null first."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
+
+
+def _part(h: Column, parts: Column) -> Column:
+    """Which of so many equal parts of the hash range holds h."""
+    return F.least(F.floor((h.cast("double") + 2.0**63) / 2.0**64 * parts).cast("int"), parts - 1)
+
+
+def _borders(docs: DataFrame, buckets: int | None) -> list[tuple[int, int]]:
+    """The place (id, hash) at which each bucket begins, ascending: the first row's, or the least hash for all rows of an id."""
+    ids = docs.select(_place().alias("o"))
+    seen = ids.agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("least")).first()
+    if not seen.n:
+        return []
+    wanted = buckets or min(MOST_BUCKETS, -(-seen.n // BUCKET_ROWS))
+    if wanted == 1:
+        return [(seen.least, _LEAST)]
+    share = SAMPLED * wanted / seen.n
+    counted = (ids.sample(share, 7) if share < 1 else ids).groupBy("o").count().collect()
+    each = sum(r["count"] for r in counted) / wanted
+    hot = {r.o: int(r["count"] // each) for r in counted if r["count"] >= HOT * each}
+    found, held = {(seen.least, _LEAST)}, 0
+    for row in sorted(counted):
+        if held >= each:
+            found.add((row.o, _LEAST))
+            held = 0
+        held += row["count"]
+    if hot:
+        parts = F.element_at(F.create_map(*[x for o, n in hot.items() for x in (_long(o), F.lit(n))]), F.col("o"))
+        rows = docs.select(_place().alias("o"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).filter(F.col("o").isin(*hot))
+        found = {x for x in found if x[0] not in hot}
+        found |= {(r.o, r.h) for r in rows.groupBy("o", _part(F.col("h"), parts).alias("part")).agg(F.min("h").alias("h")).collect()}
+    return sorted(found)
+
+
+def _known(values) -> Column:
+    """An array literal (folded from one string, so that the plan holds one value and not thousands)."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _bucket(o: Column, h: Column, starts: list[tuple[int, int]]) -> Column:
+    """Index of the last start at or before (o, h), by binary search."""
+    first, second = _known(x for x, _ in starts), _known(x for _, x in starts)
+    begun = lambda i: (F.get(first, i) < o) | ((F.get(first, i) == o) & (F.get(second, i) <= h))
+    steps = [1 << b for b in reversed(range(len(starts).bit_length()))]
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= len(starts)) & begun(at + step - 1), at + step).otherwise(at))
+    return found - 1
+
+
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Columns doc_id, text, bucket, copy, o, h and next_text, for each row of docs and for the rows that buckets lend each
     other (copy = 1), which the caller drops once nothing looks at its next row any more."""
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("o"))
-    n = ids.count() if buckets is None else 0
-    wanted = buckets or max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
-    borders: list[int] = []
-    if wanted > 1:
-        borders = sorted({*(ids.agg(F.percentile_approx("o", [i / wanted for i in range(1, wanted)], 10 * wanted).alias("q")).first().q or [])})
-    firsts = sorted(r.o for r in ids.groupBy(interval_of(F.col("o"), borders, _long).alias("b")).agg(F.min("o").alias("o")).collect())
-    dealt = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("o"),
-    ).withColumn("h", F.xxhash64("text"))
-    if not firsts:
+    starts = _borders(docs, buckets)
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), _place().alias("o")).withColumn("h", F.xxhash64("text"))
+    if not starts:
         return dealt.withColumn("bucket", F.lit(0)).withColumn("copy", F.lit(0)).withColumn("next_text", F.col("text"))
-    own = (interval_of(F.col("o"), firsts, _long) - 1).alias("own")
-    first = F.get(F.array(*map(_long, firsts)), F.col("own")) == F.col("o")
-    before = F.pmod(F.col("own") - 1, F.lit(len(firsts)))
-    places = F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("copy")), F.when(first, F.struct(before.alias("bucket"), F.lit(1).alias("copy"))))
+    own = _bucket(F.col("o"), F.col("h"), starts).alias("own")
+    first, second = (F.get(_known(x[i] for x in starts), F.col("own")) for i in (0, 1))
+    begins = (F.col("o") == first) & ((second == _LEAST) | (F.col("h") == second))
+    before = F.pmod(F.col("own") - 1, F.lit(len(starts)))
+    places = F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("copy")), F.when(begins, F.struct(before.alias("bucket"), F.lit(1).alias("copy"))))
     lent = dealt.select("*", own).select("doc_id", "text", "o", "h", F.explode(places).alias("p")).filter("p IS NOT NULL").select("doc_id", "text", "o", "h", "p.bucket", "p.copy")
     return lent.withColumn("next_text", F.lead("text").over(in_bucket()))
 

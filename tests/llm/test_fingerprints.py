@@ -80,3 +80,15 @@ def test_repeated_rows_and_empty(spark):
     rows = fp.fingerprinted(docs, 3).collect()
     assert sorted(r.doc_id for r in rows) == [1, 1, 1, 2] and all(r.edited_sha256 for r in rows)
     assert fp.fingerprinted(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 40])
+def test_hot_ids_are_cut_by_hash(spark, buckets):
+    rows = [(i, f"text of {i} " * 9) for i in range(60)] + [(30, f"copy {i} of a hot id " * 5) for i in range(300)] + [(None, f"no id {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashed = sorted(((r.o, r.h, r.text) for r in docs.selectExpr("coalesce(doc_id, -9223372036854775807 - 1) AS o", "xxhash64(text) AS h", "text").collect()))
+    want = sorted((hashed[n][2], hashed[(n + 1) % len(hashed)][2]) for n in range(len(hashed)))
+    got = fp.with_next(docs, buckets).filter("copy = 0")
+    assert sorted((r.text, r.next_text) for r in got.collect()) == want
+    if buckets == 40:
+        assert got.groupBy("bucket").count().agg({"count": "max"}).first()[0] < 100
