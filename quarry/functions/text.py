@@ -126,6 +126,15 @@ def redacted(text: Column, most: int = 2000) -> Column:
     return F.substring(F.regexp_replace(text, r"sk-[A-Za-z0-9_-]+", "[redacted]"), 1, most)
 
 
+def retry_after(value: Column, now: Column) -> Column:
+    """Seconds that a Retry-After header asks for: a number, or an HTTP date less the present time; never below 0, and 0 for
+    null and for what is neither."""
+    number = F.when(value.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"), F.trim(value).try_cast("double"))
+    date = F.try_to_timestamp(F.regexp_replace(value, r"^\s*[A-Za-z]+,\s*", ""), F.lit("d MMM yyyy HH:mm:ss z"))
+    left = F.unix_micros(date) / 1e6 - F.unix_micros(now) / 1e6
+    return F.greatest(F.lit(0.0), F.coalesce(number, left, F.lit(0.0)))
+
+
 def has_chat_token(text: Column, tokens: tuple[str, ...] = ("<|im_start|>", "<|im_end|>", "<|endoftext|>")) -> Column:
     """Whether a text holds a token of the chat format, which would break a rendered example."""
     out = F.lit(False)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.literals import literal_map_of
 from quarry.functions.text import has_chat_token
 
 ANNOTATION = ("responses", "extracted", "correct", "tokens", "finish", "num_correct")
@@ -48,6 +49,19 @@ def allowed_metadata(metadata: Column) -> Column:
     return F.map_filter(metadata, lambda k, _: F.lower(k).isin(*METADATA))
 
 
+def literal_metadata(rows: DataFrame, column: str) -> DataFrame:
+    """rows with a column of dict literals as a map of the entries that are kept (empty for anything else, null too). Each
+    distinct literal is parsed once."""
+    told = rows.select(F.col(column).alias("_text")).distinct().withColumn("_map", allowed_metadata(literal_map_of("_text")))
+    return rows.join(told, F.col(column).eqNullSafe(F.col("_text"))).withColumn(column, F.col("_map")).drop("_text", "_map")
+
+
+def source_fields(columns: list[str], problem: str = "problem", original: str = "original") -> Column:
+    """A struct of the fields of an envelope that a source has processed: the problem from the envelope itself, the others
+    from the original row. A field that the source lacks is an analysis error."""
+    return F.struct(*[F.col(problem).alias(c) if c == "problem" else F.col(f"{original}.`{c}`").alias(c) for c in columns])
+
+
 def merged_annotations(rows: DataFrame, journal: DataFrame, index: str, prefix: str) -> DataFrame:
     """All rows with the journal's annotation columns under a prefix, null where the journal has none."""
     own = journal.select(F.col(index), *[F.col(c).alias(prefix + c) for c in ANNOTATION if c in journal.columns])

@@ -90,6 +90,42 @@ def histogram(rows: DataFrame, value: str, low: int, high: int) -> DataFrame:
     return axis.join(counted, value, "left").select(value, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def sampling_summary(rows: DataFrame, selected: Column, samples: int = 8) -> DataFrame:
+    """(metric, name, value) over all rows: how many there are and are selected, and of the selected ones the responses, a
+    zero-filled histogram of num_correct, finish reasons, tokens, empty extractions and grading errors.
+
+    rows: num_correct, finish_reasons, response_tokens, extracted_answers, grading_errors (arrays). Rows that are not
+    selected (or null) count as such only; null arrays count nothing. One pass; sums are combined before the shuffle."""
+    picked = F.coalesce(selected, F.lit(False))
+
+    def entry(metric: str, value: Column, name: Column | None = None) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), (F.lit("") if name is None else name).alias("name"), F.coalesce(value.cast("long"), F.lit(0).cast("long")).alias("value"))
+
+    own = [
+        entry("responses", F.lit(samples)),
+        *[entry("num_correct", F.col("num_correct") == i, F.lit(str(i))) for i in range(samples + 1)],
+        entry("response_tokens", F.aggregate(F.coalesce("response_tokens", F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x.cast("long"), F.lit(0).cast("long")))),
+        entry("empty_extractions", F.size(F.filter(F.coalesce("extracted_answers", F.array().cast("array<string>")), lambda x: x == ""))),
+        entry("grading_errors", F.size(F.filter(F.coalesce("grading_errors", F.array().cast("array<string>")), lambda x: x.isNotNull()))),
+    ]
+    finish = F.transform(F.coalesce("finish_reasons", F.array().cast("array<string>")), lambda x: entry("finish_reasons", F.lit(1), F.coalesce(x, F.lit("null"))))
+    none = F.filter(finish, lambda _: F.lit(False))
+    every = F.array(entry("source_rows", F.lit(1)), entry("selected_rows", picked), entry("unselected_rows", ~picked))
+    told = rows.select(F.explode(F.concat(every, F.when(picked, F.concat(F.array(*own), finish)).otherwise(none))).alias("e"))
+    return told.groupBy("e.metric", "e.name").agg(F.sum("e.value").alias("value"))
+
+
+def crosstab(rows: DataFrame, by: list[str], flags: list[str]) -> DataFrame:
+    """Per group, how many rows each flag keeps and drops (a null flag drops)."""
+    kept = {f: F.count_if(F.coalesce(F.col(f), F.lit(False))) for f in flags}
+    return rows.groupBy(*by).agg(*[c for f, k in kept.items() for c in (k.alias(f"{f}_kept"), (F.count(F.lit(1)) - k).alias(f"{f}_dropped"))])
+
+
+def grade_counts(rows: DataFrame, by: list[str], problem: str) -> DataFrame:
+    """Rows and distinct problems of each grade."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(problem).alias("problems"))
+
+
 def length_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, sum, least, most, and median, p90 and p99 with linear interpolation (exact)."""
     p = lambda q: F.percentile(value, F.lit(q))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import spans
-from quarry.operators import checks, metrics, pool
+from quarry.functions import text as T
+from quarry.operators import checks, examples, metrics, pool
 from quarry.plans.registry import query
 from quarry.session import table
 
@@ -168,3 +169,61 @@ def sourced_answers(spark, sf_dir):
     solution = F.when(k == 0, "\\boxed{7}").otherwise("x \\boxed{8}")
     found = pool.sourced_answer(source, F.col("lang"), solution, F.when(k == 1, F.create_map(F.lit("Answer"), F.lit("told"))).otherwise(F.create_map(F.lit("year"), F.lit("1"))))
     return table(spark, sf_dir, "documents").select("doc_id", found.alias("a")).select("doc_id", "a.*")
+
+
+@query(
+    "sampling_summary",
+    """WITH s AS (SELECT doc_id % 9 AS c, doc_id % 3 AS k, n_chars FROM documents WHERE doc_id % 9 < 3)
+    SELECT 'source_rows' AS metric, '' AS name, count(*)::BIGINT AS value FROM documents
+    UNION ALL SELECT 'selected_rows', '', count(*) FROM s UNION ALL SELECT 'unselected_rows', '', count(*) FROM documents WHERE doc_id % 9 >= 3
+    UNION ALL SELECT 'responses', '', 8 * count(*) FROM s
+    UNION ALL SELECT 'num_correct', i::VARCHAR, (SELECT count(*) FROM s WHERE c = i) FROM range(0, 9) t(i)
+    UNION ALL SELECT 'response_tokens', '', sum(8 * n_chars)::BIGINT FROM s
+    UNION ALL SELECT 'empty_extractions', '', sum(8 - c)::BIGINT FROM s
+    UNION ALL SELECT 'grading_errors', '', sum(k)::BIGINT FROM s
+    UNION ALL SELECT 'finish_reasons', 'length', sum(k)::BIGINT FROM s UNION ALL SELECT 'finish_reasons', 'stop', sum(8 - k)::BIGINT FROM s""",
+)
+def sampling_summary(spark, sf_dir):
+    places = F.sequence(F.lit(0), F.lit(7))
+    k, c = F.col("doc_id") % 3, F.col("doc_id") % 9
+    rows = table(spark, sf_dir, "documents").select(
+        c.alias("num_correct"), F.array_repeat("n_chars", 8).alias("response_tokens"), F.transform(places, lambda i: F.when(i < k, "length").otherwise("stop")).alias("finish_reasons"),
+        F.transform(places, lambda i: F.when(i < c, "x").otherwise("")).alias("extracted_answers"), F.transform(places, lambda i: F.when(i < k, "timeout")).alias("grading_errors"),
+    )
+    return metrics.sampling_summary(rows, F.col("num_correct") < 3)
+
+
+@query("kept_crosstab", """SELECT d.source, count(*) FILTER (lang = 'en') AS english_kept, count(*) FILTER (lang IS DISTINCT FROM 'en') AS english_dropped,
+    count(*) FILTER (quality = 1) AS good_kept, count(*) FILTER (quality IS DISTINCT FROM 1) AS good_dropped FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
+def kept_crosstab(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return metrics.crosstab(rows.withColumns({"english": F.col("lang") == "en", "good": F.col("quality") == 1}), ["source"], ["english", "good"])
+
+
+@query("grade_counts", "SELECT l_returnflag, l_linestatus, count(*) AS rows, count(DISTINCT l_orderkey) AS problems FROM lineitem GROUP BY 1, 2")
+def grade_counts(spark, sf_dir):
+    return metrics.grade_counts(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_orderkey")
+
+
+@query("literal_metadata", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS found_source, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 5)::VARCHAR END AS found_level,
+    CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS entries FROM documents""")
+def literal_metadata(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    good = F.format_string("{'source': '%s', 'Level': %d, 'messages': ['a', None]}", "source", F.col("doc_id") % 5)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(k == 0, good).when(k == 1, F.lit("['source']")).otherwise(F.lit("{'source': open('x')}")).alias("metadata"))
+    own = examples.literal_metadata(rows, "metadata")
+    return own.select("doc_id", F.try_element_at("metadata", F.lit("source")).alias("found_source"), F.try_element_at("metadata", F.lit("Level")).alias("found_level"), F.size("metadata").alias("entries"))
+
+
+@query("source_fields", "SELECT doc_id, 'q' || doc_id AS problem, source, n_chars FROM documents")
+def source_fields(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("q"), "doc_id").alias("problem"), F.struct("source", "lang", "n_chars").alias("original"))
+    return rows.select("doc_id", examples.source_fields(["problem", "source", "n_chars"]).alias("fields")).select("doc_id", "fields.*")
+
+
+@query("retry_seconds", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN doc_id / 4 WHEN 4 THEN greatest(0, doc_id % 60 - 30) ELSE 0 END::DOUBLE AS seconds FROM documents""")
+def retry_seconds(spark, sf_dir):
+    k, now = F.col("doc_id") % 5, F.lit("2026-01-01 00:00:30 UTC").cast("timestamp")
+    dated = F.concat(F.lit("Thu, 01 Jan 2026 00:00:"), F.lpad((F.col("doc_id") % 60).cast("string"), 2, "0"), F.lit(" GMT"))
+    value = F.when(k == 0, (F.col("doc_id") / 4).cast("string")).when(k == 1, F.lit("-3")).when(k == 2, F.lit("later")).when(k == 4, dated)
+    return table(spark, sf_dir, "documents").select("doc_id", T.retry_after(value, now).alias("seconds"))

@@ -192,3 +192,52 @@ def test_latest_status_breaks_ties(spark):
     rows = [(1, 2, "a"), (1, 2, "b"), (1, 1, "z")]
     for own in (rows, rows[::-1]):
         assert [tuple(r) for r in latest_status(spark.createDataFrame(own, "id long, attempt int, status string"), "id", "attempt").collect()] == [(1, 2, "b")]
+
+
+def test_near_links_with_common_ngrams(spark):
+    """Over COMMON sets that share most of their n-grams, a set of common ones only, and short and empty texts."""
+    base = [f"w{i}" for i in range(30)]
+    texts = [" ".join(base[:k] + [f"v{k}{j}" for j in range(30 - k)]) for k in range(30) for _ in range(2)]
+    texts += [" ".join(base + [f"x{k}"]) for k in range(dedup.COMMON + 9)] + [" ".join(base), "a b", "a b", "", None, "a b c d e"]
+    rows = frame(spark, list(enumerate(texts)), "id long, text string")
+    forms = {}
+    for i, t in enumerate(texts):
+        w = (t or "").replace("w", "w ").replace("v", "v ").replace("x", "x ").split()
+        forms.setdefault(" ".join(w), (i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}))
+    sets = sorted(forms.values(), key=lambda x: x[0])
+    for threshold in (0.5, 0.8):
+        want = {(u, v) for n, (u, a) in enumerate(sets) for v, b in sets[n + 1 :] if len(a & b) / len(a | b) >= threshold}
+        got = {(r.u, r.v): r.similarity for r in dedup.near_links(rows, 5, threshold).collect()}
+        assert got.keys() == want and len(want) > 300
+
+
+def test_literal_metadata(spark):
+    texts = ["{'source': 'a', 'Level': 5, 'messages': 'x', 3: 4, 'type': None, 'id': [1, None]}", " {'year': 1}", "['source']", "{'source': f()}", "", None, "(" * 5000, "{'source': 'a'}", "{'source': 'a'}"]
+    rows = frame(spark, [(i, t, "c") for i, t in enumerate(texts)], "id long, metadata string, _c string")
+    got = {r.id: r.metadata for r in examples.literal_metadata(rows, "metadata").collect()}
+    assert got == {0: {"source": "a", "Level": "5", "type": None, "id": "[1, null]"}, 1: {"year": "1"}, 2: {}, 3: {}, 4: {}, 5: {}, 6: {}, 7: {"source": "a"}, 8: {"source": "a"}}
+
+
+def test_retry_after(spark):
+    values = [None, "", "7", " 2.5 ", "1e2", "-4", "5d", "soon", "Thu, 01 Jan 2026 00:01:00 GMT", "Wed, 31 Dec 2025 00:00:00 GMT"]
+    rows = frame(spark, [(v,) for v in values], "v string")
+    got = [r.s for r in rows.select(T.retry_after(F.col("v"), F.lit("2026-01-01 00:00:30 UTC").cast("timestamp")).alias("s")).collect()]
+    assert got == [0, 0, 7, 2.5, 100, 0, 0, 0, 30, 0]
+
+
+def test_sampling_summary(spark):
+    schema = "num_correct int, finish_reasons array<string>, response_tokens array<int>, extracted_answers array<string>, grading_errors array<string>"
+    rows = frame(spark, [(0, ["stop", None], [3, None], ["", "a"], [None, "e"]), (8, ["stop"], [1], [""], [None]), (None, None, None, None, None), (1, None, None, None, None)], schema)
+    got = {(r.metric, r.name): r.value for r in metrics.sampling_summary(rows, F.col("num_correct") < 3).collect()}
+    assert {k: v for k, v in got.items() if v} == {
+        ("source_rows", ""): 4, ("selected_rows", ""): 2, ("unselected_rows", ""): 2, ("responses", ""): 16, ("num_correct", "0"): 1, ("num_correct", "1"): 1,
+        ("response_tokens", ""): 3, ("empty_extractions", ""): 1, ("grading_errors", ""): 1, ("finish_reasons", "stop"): 1, ("finish_reasons", "null"): 1,
+    }
+    assert sum(k[0] == "num_correct" for k in got) == 9
+    assert metrics.sampling_summary(rows.limit(0), F.lit(True)).count() == 0
+
+
+def test_crosstab_and_grades(spark):
+    rows = frame(spark, [("a", True, 1), ("a", None, 1), ("b", False, 2), (None, True, None)], "k string, f boolean, p long")
+    assert {tuple(r) for r in metrics.crosstab(rows, ["k"], ["f"]).collect()} == {("a", 1, 1), ("b", 0, 1), (None, 1, 0)}
+    assert {tuple(r) for r in metrics.grade_counts(rows, ["k"], "p").collect()} == {("a", 2, 1), ("b", 1, 1), (None, 1, 0)}
