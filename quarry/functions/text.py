@@ -62,15 +62,20 @@ def shingles(normal: Column, n: int) -> Column:
     return F.when(F.size(own) > 0, own).otherwise(F.array(normal))
 
 
-def shingle_hashes(normal: Column, n: int) -> Column:
-    """64-bit hashes of the distinct n-grams of a normal form (of the whole of it where it is shorter), ascending."""
+def gram_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of the n-grams of an array of tokens, repeats included; none where the array is shorter."""
 
     def made(own: Column) -> Column:
         starts = F.slice(own, 1, F.greatest(F.size(own) - (n - 1), F.lit(0)))
         return F.transform(starts, lambda h, i: F.xxhash64(h, *[F.get(own, i + k) for k in range(1, n)]))
 
-    own = bound(F.transform(words(normal), lambda w: F.xxhash64(w)), made)
-    return F.sort_array(F.array_distinct(bound(own, lambda h: F.when(F.size(h) > 0, h).otherwise(F.array(F.xxhash64(normal))))))
+    return bound(F.transform(tokens, lambda w: F.xxhash64(w)), made)
+
+
+def shingle_hashes(normal: Column, n: int) -> Column:
+    """64-bit hashes of the distinct n-grams of a normal form (of the whole of it where it is shorter), ascending."""
+    whole = F.array(F.xxhash64(normal))
+    return F.sort_array(F.array_distinct(bound(gram_hashes(words(normal), n), lambda h: F.when(F.size(h) > 0, h).otherwise(whole))))
 
 
 def numeric_template(normal: Column) -> Column:

@@ -4,7 +4,8 @@ Coverage of an item by a row is the share of the item's distinct n-grams that th
 over items. Rows at or above the threshold for some item are removed; rows whose best score lies in the band below are near
 misses. Items shorter than n tokens are found as substrings of the normal form instead (coverage 1).
 
-The row side is exploded to (id, gram) and joined with the items' grams before any aggregate, so only shared grams are
+n-grams are 64-bit hashes (of 10^13 n-grams of rows and 10^5 of items less than one pair is expected to clash, and a clash
+is one n-gram of one item). The row side is exploded to (id, gram) and joined with the items' grams before any aggregate, so only shared grams are
 shuffled; the optimizer broadcasts the item side while it is small and joins by shuffle beyond. Short items are a stated
 query set: they travel as literal arrays, in blocks, and each row is looked at once.
 
@@ -35,10 +36,11 @@ def validate(n: int, threshold: float, near: float) -> None:
 def _short_matches(rows: DataFrame, items: DataFrame) -> DataFrame:
     """(id, eval_set, item_id, coverage, matched, total, method) of short items inside rows' normal forms."""
     known = sorted((r.eval_set, r.item_id, r.normal) for r in items.select("eval_set", "item_id", "normal").collect())
-    out = rows.select("id", F.lit(None).cast("struct<s:string,i:long,n:string>").alias("m")).limit(0)
+    found = [F.array().cast("array<struct<s:string,i:bigint,n:string>>")]
     for at in range(0, len(known), BLOCK):
         block = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(i).cast("long").alias("i"), F.lit(n).alias("n")) for s, i, n in known[at : at + BLOCK]])
-        out = out.unionByName(rows.select("id", F.explode(F.filter(block, lambda m: F.contains(F.col("normal"), m["n"]))).alias("m")))
+        found.append(F.filter(block, lambda m: F.contains(F.col("normal"), m["n"])))
+    out = rows.select("id", F.explode(F.concat(*found)).alias("m"))
     return out.select("id", F.col("m.s").alias("eval_set"), F.col("m.i").alias("item_id"), F.lit(1.0).alias("coverage"), F.lit(0).cast("long").alias("matched"), F.lit(0).cast("long").alias("total"), F.lit("short_exact_substring").alias("method")).distinct()
 
 
@@ -46,9 +48,9 @@ def matches(rows: DataFrame, items: DataFrame, n: int = N, normal=T.normal_v2) -
     """Every scored pair. rows: id, text. items: eval_set, item_id, text."""
     items = items.select("eval_set", "item_id", normal(F.col("text")).alias("normal"))
     checked = items.withColumn("normal", F.when(F.col("normal") != "", F.col("normal")).otherwise(F.raise_error(F.lit("an evaluation item has an empty normal form"))))
-    own = checked.select("eval_set", "item_id", "normal", T.grams(T.words(F.col("normal")), n).alias("grams")).withColumn("total", F.size("grams").cast("long"))
+    own = checked.select("eval_set", "item_id", "normal", F.array_distinct(T.gram_hashes(T.words(F.col("normal")), n)).alias("grams")).withColumn("total", F.size("grams").cast("long"))
     rows = rows.select("id", normal(F.coalesce("text", F.lit(""))).alias("normal"))
-    left = rows.select("id", F.explode(T.grams(T.words(F.col("normal")), n, distinct=False)).alias("gram"))  # distinct only after the join
+    left = rows.select("id", F.explode(T.gram_hashes(T.words(F.col("normal")), n)).alias("gram"))  # distinct only after the join
     right = own.select("eval_set", "item_id", "total", F.explode("grams").alias("gram"))
     shared = left.join(right, "gram")
     scored = shared.groupBy("id", "eval_set", "item_id", "total").agg(F.count_distinct("gram").alias("matched"))
