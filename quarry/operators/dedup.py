@@ -13,6 +13,8 @@ Null texts count as empty; repeated rows are each other's duplicates; empty tabl
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,20 +109,28 @@ def _gram_set(text: str, n: int) -> set[tuple[str, ...]]:
 def greedy_solutions(rows: DataFrame, problem: str, n: int = 4, threshold: float = 0.7) -> DataFrame:
     """Solutions of a problem that stay: from the shortest on, one goes if it is too similar to one that stays.
 
-    rows: problem, id, text. The order of decisions matters, so a problem's solutions (a few samples each) are looked at
-    together; ties in length go by id. Null texts go."""
+    rows: problem, id, text. The order of decisions matters, so a problem's solutions are looked at together; of equal texts
+    only the first comes there, since the others go in any case, and a solution is compared with those that share an n-gram
+    with it. Ties in length go by id. Null texts go."""
+    if not 0 < threshold <= 1:
+        raise ValueError("need 0 < threshold <= 1")
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        chosen, out = [], []
-        for row in sorted(frame.dropna(subset=["text"]).itertuples(index=False), key=lambda r: (len(r.text), r.id)):
+        sizes, holders, out = [], {}, []
+        for row in sorted(frame.itertuples(index=False), key=lambda r: (len(r.text), r.id)):
             own = _gram_set(row.text, n)
-            if all(len(own & x) / len(own | x) < threshold for x in chosen):
-                chosen.append(own)
-                out.append((row.problem, row.id, len(out) + 1))
+            shared = Counter(k for g in own for k in holders.get(g, ()))
+            if any(m / (len(own) + sizes[k] - m) >= threshold for k, m in shared.items()):
+                continue
+            for g in own:
+                holders.setdefault(g, []).append(len(sizes))
+            sizes.append(len(own))
+            out.append((row.problem, row.id, len(out) + 1))
         return pd.DataFrame(out, columns=["problem", "id", "place"])
 
-    own = rows.select(F.col(problem).cast("long").alias("problem"), F.col("id").cast("long").alias("id"), "text")
-    return own.groupBy("problem").applyInPandas(one, "problem long, id long, place long")
+    own = rows.select(F.col(problem).cast("long").alias("problem"), F.col("id").cast("long").alias("id"), "text").filter("text IS NOT NULL")
+    first = own.groupBy("problem", F.sha2("text", 256).alias("digest")).agg(F.min(F.struct("id", "text")).alias("s")).select("problem", "s.*")
+    return first.groupBy("problem").applyInPandas(one, "problem long, id long, place long")
 
 
 def request_digests(rows: DataFrame) -> DataFrame:

@@ -70,7 +70,14 @@ def conflict_quarantine(spark, sf_dir):
     return dedup.conflicts(own, "cluster", [F.col("id")], lambda a, b: a == b)
 
 
-@query("greedy_solutions")
+@query("greedy_solutions", """WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS n, string_split_regex(trim(lower(text)), '\\s+') AS w FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
+    o AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY n, turn) AS place,
+        CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i+3], ' '))) END AS g FROM t),
+    s(conv_id, place, chosen) AS (SELECT conv_id, place, [{'turn': turn, 'g': g}] FROM o WHERE place = 1
+        UNION ALL SELECT o.conv_id, o.place, CASE WHEN len(list_filter(chosen, lambda x: len(list_intersect(x.g, o.g)) / len(list_distinct(list_concat(x.g, o.g))) >= 0.7)) > 0
+            THEN chosen ELSE list_append(chosen, {'turn': o.turn, 'g': o.g}) END FROM s JOIN o ON o.conv_id = s.conv_id AND o.place = s.place + 1),
+    f AS (SELECT conv_id, arg_max(chosen, place) AS chosen FROM s GROUP BY conv_id)
+    SELECT conv_id AS problem, chosen[k].turn::BIGINT AS id, k::BIGINT AS place FROM (SELECT conv_id, chosen, unnest(generate_series(1, len(chosen))) AS k FROM f)""")
 def greedy_solutions(spark, sf_dir):
     own = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
     return dedup.greedy_solutions(own.select("conv_id", F.col("turn").alias("id"), "text"), "conv_id")

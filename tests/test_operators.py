@@ -67,6 +67,27 @@ def test_conflicts_compare_to_the_representative(spark):
 def test_greedy_solutions(spark):
     rows = frame(spark, [(1, 1, "a b c d e f"), (1, 2, "a b c d e f g"), (1, 3, "q r s t u"), (2, 4, None), (2, 5, "x")], "p long, id long, text string")
     assert sorted((r.problem, r.id, r.place) for r in dedup.greedy_solutions(rows, "p").collect()) == [(1, 1, 2), (1, 3, 1), (2, 5, 1)]
+    assert dedup.greedy_solutions(rows.limit(0), "p").count() == 0
+    with pytest.raises(ValueError):
+        dedup.greedy_solutions(rows, "p", 4, 0)
+
+
+def test_greedy_solutions_against_all_comparisons(spark):
+    import random
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abc") for _ in range(r.randint(0, 9))) for _ in range(120)]
+    rows = frame(spark, [(i % 2, i, t) for i, t in enumerate(texts + texts[:40])], "p long, id long, text string")
+    want = []
+    for p in (0, 1):
+        chosen = []
+        for i, t in sorted(((i, t) for i, t in enumerate(texts + texts[:40]) if i % 2 == p), key=lambda x: (len(x[1]), x[0])):
+            w = t.split()
+            own = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} or {tuple(w)}
+            if all(len(own & x) / len(own | x) < 0.7 for x in chosen):
+                chosen.append(own)
+                want.append((p, i, len(chosen)))
+    assert sorted(tuple(x) for x in dedup.greedy_solutions(rows, "p").collect()) == sorted(want)
 
 
 def test_pass_at_k(spark):
