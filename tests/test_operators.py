@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,3 +263,22 @@ def test_crosstab_and_grades(spark):
     rows = frame(spark, [("a", True, 1), ("a", None, 1), ("b", False, 2), (None, True, None)], "k string, f boolean, p long")
     assert {tuple(r) for r in metrics.crosstab(rows, ["k"], ["f"]).collect()} == {("a", 1, 1), ("b", 0, 1), (None, 1, 0)}
     assert {tuple(r) for r in metrics.grade_counts(rows, ["k"], "p").collect()} == {("a", 2, 1), ("b", 1, 1), (None, 1, 0)}
+
+
+def test_completion_budgets_of_a_table_with_long_and_null_texts(spark, tmp_path):
+    from quarry.plans import catalog
+
+    texts = [(1, "a"), (2, "x" * 36000), (3, "x" * 40000), (4, "x" * 122698), (5, None)]
+    frame(spark, texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.budget for r in catalog.QUERIES["completion_budgets"](spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(duck.execute(catalog.ORACLES["completion_budgets"]).fetchall()) == {1: 4096, 2: 4000, 3: 0, 4: -82698, 5: 4096}
+
+
+def test_no_room_is_an_error_where_it_is_asked_for(spark):
+    own = frame(spark, [(1, 10), (2, 100)], "id long, prompt int")
+    budget = examples.has_room(examples.completion_budget(F.col("prompt"), 100, 50))
+    assert own.filter("id = 1").select(budget).first()[0] == 50
+    with pytest.raises(Exception, match="no room"):
+        own.select(budget).collect()
