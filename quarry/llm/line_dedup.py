@@ -21,7 +21,9 @@ grows beyond a group's bound, and every near pair is looked at.
 Scale. Three passes over the texts: identities of lines; keys, of which only those that two lines share are kept (24 bytes
 a key go through the shuffle, no text); and the lines under shared keys, which are joined to the shared keys (broadcast only
 below BROADCAST_ROWS keys of 8 bytes, counted first). The texts themselves are shuffled once, to take lines out. Each
-level is cut as a table in the shared scratch folder.
+level is cut as a table in the shared scratch folder. All other joins are hinted to be sort-merge joins: the optimizer goes by
+the size of files, where rows of one group compress a hundredfold, and knows nothing of what an explode adds, so it would
+broadcast levels that don't fit the driver.
 
 Hashes: a line's identity is two 64-bit hashes with the length; a key is a 64-bit hash, and what it brings together is
 verified, so a clash of keys costs time and no wrong result.
@@ -216,8 +218,9 @@ def _met(every: DataFrame, measures: tuple[Measure, ...]) -> DataFrame:
     if few:
         rows = _keyed(every, measures, place, F.col("line")).join(F.broadcast(shared), "key")
     else:  # the lines come back by their places, so that keys travel without them
-        places = cut(_keyed(every, measures, place, F.xxhash64("line").alias("l")).join(shared, "key").groupBy("key", "number", "l").agg(F.min("place").alias("place")))
-        rows = places.join(every.select(place, "line").join(places.select("place").distinct(), "place").dropDuplicates(["place"]), "place")
+        places = cut(_keyed(every, measures, place, F.xxhash64("line").alias("l")).join(shared.hint("merge"), "key").groupBy("key", "number", "l").agg(F.min("place").alias("place")))
+        wanted = every.select(place, "line").join(places.select("place").distinct().hint("merge"), "place").dropDuplicates(["place"])
+        rows = places.join(wanted.hint("merge"), "place")
     out = cut(rows.groupBy("key", "number", "line").agg(F.min("place").alias("place")))
     discard(shared)
     return out
@@ -240,7 +243,7 @@ def _against_first(rows: DataFrame, measure: Measure) -> DataFrame:
     """rows with done: the line is the earliest of its group, or near it (close)."""
     first = rows.groupBy("key").agg(F.min(F.struct("place", "units")).alias("first"))
     close = _within(F.col("first.units"), F.col("units"), measure) & (F.col("first.place") < F.col("place"))
-    told = rows.join(first, "key").withColumn("close", close)
+    told = rows.join(first.hint("merge"), "key").withColumn("close", close)
     return told.withColumn("done", F.col("done") | F.col("close") | (F.col("first.place") == F.col("place"))).drop("first")
 
 
@@ -296,7 +299,7 @@ def _in_blocks(rows: DataFrame, measure: Measure) -> DataFrame:
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("place"), blocks).cast("int"))
     own = dealt.groupBy("key", "block").agg(F.collect_set(F.struct("place", "units")).alias("all"))
     asked = rows.filter(~F.col("done")).select("key", "place", "units", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    return asked.join(own, ["key", "block"]).filter(_has_earlier(F.struct("place", "units"), F.col("all"), measure)).select("place")
+    return asked.join(own.hint("merge"), ["key", "block"]).filter(_has_earlier(F.struct("place", "units"), F.col("all"), measure)).select("place")
 
 
 def near_lines(met: DataFrame, measure: Measure) -> DataFrame:
@@ -305,7 +308,7 @@ def near_lines(met: DataFrame, measure: Measure) -> DataFrame:
     found, made = [], []
     while True:
         counts = level.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("place").alias("a"), F.max("place").alias("b")).filter("a < b").select("key", "many")
-        level = cut(level.join(counts, "key"))
+        level = cut(level.join(counts.hint("merge"), "key"))
         discard(*made)
         found.append(cut(_compared(level.filter(F.col("many") <= GROUP), measure)))
         large = level.filter(F.col("many") > GROUP)
@@ -314,7 +317,7 @@ def near_lines(met: DataFrame, measure: Measure) -> DataFrame:
         told = cut(_against_first(large, measure))
         discard(level)
         found.append(cut(told.filter("close").select("place")))
-        rest = told.join(told.filter("NOT done").select("key").distinct(), "key", "left_semi")
+        rest = told.join(told.filter("NOT done").select("key").distinct().hint("merge"), "key", "left_semi")
         rest = cut((_parts(rest, measure) if "line" in rest.columns else rest).withColumn("longest", _longest()))
         discard(told)
         found.append(cut(_in_blocks(rest.filter("longest IS NULL"), measure)))
@@ -335,11 +338,11 @@ def dropped_lines(docs: DataFrame, measures: tuple[Measure, ...] = MEASURES) ->
     hashed = cut(every.select("o", "h", "n", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"), F.length("line").alias("l3")))
     met = _met(every, measures)
     near = [near_lines(met.filter(F.col("number") == i), x) for i, x in enumerate(measures)]
-    close = hashed.join(reduce(DataFrame.unionByName, near).distinct().select("place.*"), ["o", "h", "n"]).select(*identity).distinct().select(*identity, F.lit(True).alias("close"))
+    close = hashed.join(reduce(DataFrame.unionByName, near).distinct().select("place.*").hint("merge"), ["o", "h", "n"]).select(*identity).distinct().select(*identity, F.lit(True).alias("close"))
     firsts = hashed.groupBy(*identity).agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times"))
-    marked = firsts.join(close, [*identity], "left").filter("close OR times > 1").select(*identity, "first", F.coalesce("close", F.lit(False)).alias("close"))
+    marked = firsts.join(close.hint("merge"), [*identity], "left").filter("close OR times > 1").select(*identity, "first", F.coalesce("close", F.lit(False)).alias("close"))
     repeat = _place() != F.col("first")
-    gone = hashed.join(cut(marked), [*identity]).filter(F.col("close") | repeat)
+    gone = hashed.join(cut(marked).hint("merge"), [*identity]).filter(F.col("close") | repeat)
     out = cut(gone.groupBy("o", "h").agg(F.collect_set(F.when(repeat, F.col("n"))).alias("exact"), F.collect_set(F.when(~repeat, F.col("n"))).alias("near")))
     discard(hashed, met, *near)
     return out
@@ -360,7 +363,7 @@ def _applied(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs with the numbers of dropped lines and the text that is left."""
     keyed = docs.withColumns({"_quarry_o": F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)), "_quarry_h": F.xxhash64(docs["text"])})
     told = gone.select(F.col("o").alias("_quarry_o"), F.col("h").alias("_quarry_h"), F.col("exact").alias("_quarry_exact"), F.col("near").alias("_quarry_near"))
-    joined = keyed.join(told, ["_quarry_o", "_quarry_h"], "left")
+    joined = keyed.join(told.hint("merge"), ["_quarry_o", "_quarry_h"], "left")
     both = F.concat("_quarry_exact", "_quarry_near")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(both, i)), "\n")
     return joined.withColumn("_quarry_left", F.when(F.col("_quarry_exact").isNull(), F.col("text")).otherwise(left))

@@ -111,6 +111,25 @@ def test_rows(spark, monkeypatch, group, make):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_the_optimizer_broadcasts_nothing(spark, monkeypatch, most):
+    """File sizes say too little of the groups, so no join is left to them: only the counted keys may be broadcast."""
+    plans = []
+
+    def noted(df, *sort):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, *sort)
+
+    cut = ld.cut
+    monkeypatch.setattr(ld, "cut", noted)
+    monkeypatch.setattr(ld, "GROUP", 2)
+    monkeypatch.setattr(ld, "BROADCAST_ROWS", most)
+    docs = spark.createDataFrame(corpus(2, 40), "doc_id long, text string")
+    plans.append(ld.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in plans) > 8
+    assert sum(p.count("BroadcastExchange") for p in plans) == (1 if most else 0)
+
+
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_any_number_of_edits(spark, monkeypatch, k):
     """A measure of k edits of code points for all lines from 12 on, in groups that have to be divided, against all pairs."""
