@@ -3,10 +3,10 @@
 Near duplicates: rows whose distinct word n-gram sets have a Jaccard similarity at or above the threshold link, and
 components of links are clusters. Equal normal forms are collapsed first, and n-grams are 64-bit hashes of hashed words.
 Of two sets that reach the threshold t, each has one of its first n - ceil(t n) + 1 n-grams in common with the other's
-(the prefix filter, under one global order that puts n-grams of more than COMMON sets last, by frequency, so that frequent
-ones are keys only of sets that hold little else). At the first shared one, what can follow must be enough for t (the
-positional filter, which implies that lengths agree). Candidates are verified on the whole sets, so every link is found
-and none is estimated.
+(the prefix filter, under one global order by frequency, so that frequent ones are keys only of sets that hold little else,
+and n-grams of one set alone, which come first, are only counted). At the first shared one, what can follow must be enough
+for t (the positional filter, which implies that lengths agree). Candidates are verified on all n-grams that they share, so
+every link is found and none is estimated.
 
 Null texts count as empty; repeated rows are each other's duplicates; empty tables give no rows.
 """
@@ -14,6 +14,7 @@ Null texts count as empty; repeated rows are each other's duplicates; empty tabl
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators.components import connected_components
-from quarry.session import cut, ship
+from quarry.session import cut, discard, release, ship
 
-#: Sets that hold an n-gram from which on it counts as common; it shapes the order and changes no result.
+#: N-grams that are shuffled together, about 24 bytes each; it bounds disk and changes no result.
+SLICE = 100_000_000
+#: A count of sets that tests go beyond.
 COMMON = 16
 #: What rounding may add to a bound.
 SLACK = 1e-9
@@ -45,32 +48,54 @@ def _forms(rows: DataFrame, n: int, normal) -> DataFrame:
     return own.select("id", F.sha2("normal", 256).alias("digest"), T.shingle_hashes(F.col("normal"), n).alias("grams"))
 
 
-def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(gram, id, size, at) of the first n-grams of each set, rare ones by hash, then common ones by frequency and hash.
-
-    The common ones of a set, and only those, are gathered by id; no set of all n-grams is brought together again."""
-    each = sets.select("id", F.explode("grams").alias("gram"))
-    common = cut(each.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).filter(F.col("often") > COMMON))
-    held = each.join(common, "gram").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("held"))
-    told = sets.join(held, "id", "left").withColumn("held", F.coalesce(F.transform("held", lambda x: x["gram"]), F.array().cast("array<bigint>")))
+def _held(sets: DataFrame) -> DataFrame:
+    """(id, size, held): of each set that has n-grams in common with others, those n-grams, rare ones first.
+
+    All n-grams go through a shuffle to be counted and once more to find the holders of shared ones; that is done for SLICE
+    of them at a time, and what a slice shuffled is given back before the next, so disk does not grow with it."""
+    slices = max(1, -(-(sets.agg(F.sum("size")).first()[0] or 0) // SLICE))
+    parts = []
+    for k in range(slices):
+        own = F.col("grams") if slices == 1 else F.filter("grams", lambda g: F.pmod(g, F.lit(slices)) == k)
+        each = sets.select("id", "size", F.explode(own).alias("gram"))
+        counted = cut(each.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
+        parts.append(cut(each.join(counted, "gram").select("id", "size", "often", "gram")))
+        discard(counted)
+        release(sets.sparkSession)
+    held = F.transform(F.sort_array(F.collect_list(F.struct("often", "gram"))), lambda x: x["gram"])
+    out = cut(reduce(DataFrame.unionByName, parts).groupBy("id", "size").agg(held.alias("held")))
+    discard(*parts)
+    release(sets.sparkSession)
+    return out
+
+
+def _prefixes(held: DataFrame, threshold: float) -> DataFrame:
+    """(gram, id, size, at) of the shared n-grams among the first ones of each set. What a set alone has comes first in the
+    order and is counted by number, since it is no key; most sets of an ordinary corpus have no key at all."""
     keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - SLACK).cast("int") + 1
-    prefix = F.slice(F.concat(F.array_except("grams", "held"), "held"), 1, F.least(keep, F.col("size")))
-    return told.select("id", "size", F.posexplode(prefix).alias("at", "gram"))
+    alone = F.col("size") - F.size("held")
+    prefix = F.slice("held", 1, F.greatest(F.least(keep - alone, F.size("held")), F.lit(0)))
+    return held.select("id", "size", alone.alias("alone"), F.posexplode(prefix).alias("at", "gram")).select("gram", "id", "size", (F.col("alone") + F.col("at")).alias("at"))
 
 
 def _links(forms: DataFrame, threshold: float) -> DataFrame:
     """(u, v, similarity) for the distinct forms of _forms()."""
     sets = cut(forms.groupBy("digest").agg(F.min_by("grams", "id").alias("grams"), F.min("id").alias("id")).select("id", F.size("grams").alias("size"), "grams"))
-    keys = cut(_prefixes(sets, threshold))
+    release(sets.sparkSession)
+    held = _held(sets)
+    discard(sets)
+    keys = cut(_prefixes(held, threshold))
     a = keys.select("gram", F.col("id").alias("u"), F.col("size").alias("nu"), F.col("at").alias("i"))
     b = keys.select("gram", F.col("id").alias("v"), F.col("size").alias("nv"), F.col("at").alias("j"))
     # at the first n-gram that two sets share, no more than the rest of the shorter one can follow
     possible = F.least(F.col("nu") - F.col("i"), F.col("nv") - F.col("j"))
     wanted = F.lit(threshold / (1 + threshold)) * (F.col("nu") + F.col("nv")) - SLACK
-    candidates = a.join(b, "gram").filter((F.col("u") < F.col("v")) & (possible >= wanted)).select("u", "v").distinct()
-    left, right = sets.select(F.col("id").alias("u"), F.col("grams").alias("gu")), sets.select(F.col("id").alias("v"), F.col("grams").alias("gv"))
+    candidates = cut(a.join(b, "gram").filter((F.col("u") < F.col("v")) & (possible >= wanted)).select("u", "v").distinct())
+    discard(keys)
+    release(held.sparkSession)
+    left, right = (held.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("held").alias(f"g{x}")) for x in "uv")
     both = F.size(F.array_intersect("gu", "gv"))
-    told = candidates.join(left, "u").join(right, "v").select("u", "v", (F.size("gu") + F.size("gv")).alias("sizes"), both.alias("both"))
+    told = candidates.join(left, "u").join(right, "v").select("u", "v", (F.col("nu") + F.col("nv")).alias("sizes"), both.alias("both"))
     return told.select("u", "v", (F.col("both") / (F.col("sizes") - F.col("both"))).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import importlib
 import tempfile
 import uuid
@@ -72,6 +73,13 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that are done with: it does so once the driver collects its garbage,
+    which a driver with little to do may put off for half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ship(module: str) -> None:
     """Pickle the named module's functions by value, so executors need no copy of this package."""
     cloudpickle.register_pickle_by_value(importlib.import_module(module))

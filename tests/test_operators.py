@@ -282,3 +282,18 @@ def test_no_room_is_an_error_where_it_is_asked_for(spark):
     assert own.filter("id = 1").select(budget).first()[0] == 50
     with pytest.raises(Exception, match="no room"):
         own.select(budget).collect()
+
+
+def test_near_links_in_slices_move_shared_ngrams_only(spark, monkeypatch):
+    """Slices change no link, and an n-gram that one set alone has is never a key."""
+    monkeypatch.setattr(dedup, "SLICE", 40)
+    own = lambda k, n: [f"{chr(97 + k)}{chr(97 + j)}" for j in range(n)]
+    texts = [" ".join(own(k, 20)) for k in range(10)] + [" ".join(own(k, 18) + ["zz", "zy"]) for k in range(3)] + ["", None, "q"]
+    forms = dedup._forms(frame(spark, list(enumerate(texts)), "id long, text string"), 5, T.normal_lexical)
+    got = {(r.u, r.v): round(r.similarity, 9) for r in dedup._links(forms, 0.5).collect()}
+    assert got == {(k, 10 + k): round(14 / 18, 9) for k in range(3)}
+    sets = forms.filter("id < 14").select("id", F.size("grams").alias("size"), "grams")
+    held = dedup._held(sets)
+    assert {(r.id, r.size, len(r.held)) for r in held.collect()} == {(k + d, 16, 14) for k in range(3) for d in (0, 10)}
+    keys = dedup._prefixes(held, 0.5).collect()
+    assert {r.id for r in keys} == {0, 1, 2, 10, 11, 12} and {r["at"] for r in keys} == set(range(2, 9))
