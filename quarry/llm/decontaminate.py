@@ -6,8 +6,8 @@ letters and digits in lower case joined by single spaces, so layout, case and pu
 
 Lemma. A region within k edits of an item of m characters shares with it at least t = m + 1 - q(k + 1) q-grams whose
 diagonals (place in the document less place in the item) span at most k. Diagonals are therefore counted in bands of
-2(k + 1) that overlap by half: each alignment lies within one of them whole. Bands with t shared q-grams or more are
-retained, and verified by banded alignment: dynamic programming over the diagonals of the band only, all regions of a
+2(k + 1) that overlap by half: each alignment lies within one of them whole. Bands with t q-grams of the item or more, each
+place of the item counted once, are retained, and verified by banded alignment: dynamic programming over the diagonals of the band only, all regions of a
 batch side by side.
 
 Parts. A document may hold only a part of an item. So items also enter the index as overlapping segments of SEGMENT
@@ -109,6 +109,19 @@ class Index:
         self.filter[(self.hashes >> np.uint32(32 - _FILTER_BITS)).astype(np.int64)] = True
         self.reach = int(max((self.m + 4 * (self.k + 1)).max(), Q) if len(kept) else Q)
 
+    def _by_places(self, good: np.ndarray, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Of the bands (key of their first cell) those in which enough q-grams of the item, each counted once, are found:
+        a text that repeats itself meets the same few q-grams of an item again and again."""
+        if not len(good):
+            return good
+        span, pairs = int(self.m.max()) + 1, []
+        for step in (0, 1):  # a band is a cell and the next one
+            at = np.searchsorted(good, keys - step).clip(max=len(good) - 1)
+            own = good[at] == keys - step
+            pairs.append(at[own] * span + places[own])
+        found = np.bincount(np.unique(np.concatenate(pairs)) // span, minlength=len(good))
+        return good[found >= self.t[good >> 40]]
+
     def bands(self, array: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first diagonal, last diagonal) of the bands that share enough q-grams with the item."""
         hashes = gram_hashes(array)
@@ -131,7 +144,7 @@ class Index:
         both = n + np.where(own[after] == own + 1, n[after], 0) * (after != np.arange(len(own)))
         good = own[both >= self.t[items]]
         lone = own[n >= self.t[items]]
-        good = np.union1d(good, lone)
+        good = self._by_places(np.union1d(good, lone), keys, self.place[entry])
         out = []
         for key in good.tolist():
             i, c = key >> 40, key & (1 << 40) - 1

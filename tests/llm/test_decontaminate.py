@@ -118,3 +118,13 @@ def test_parts_of_items(spark):
     assert cut.edits == 0 and len(set(range(cut.start, cut.end)) & set(range(texts[2].find(long[700:1030]), texts[2].find(long[700:1030]) + 330))) > 280
     assert [(x.edits, x.similarity) for x in found if x.doc_id == 5] == [(0, 1.0)] and len(form) > 100
     assert [x.doc_id for x in d.clean(docs, benchmark).collect()] == [4]
+
+
+def test_a_text_that_repeats_itself_gives_no_band():
+    """Few q-grams of an item, met again and again, are no sign of the item; the item itself still is one."""
+    r = random.Random(11)
+    item = "ab ab ab ab ab " + words(r, 22)
+    index = d.Index([(1, item)])
+    assert index.bands(d.codes("ab " * 400)) == []
+    whole = "ab " * 100 + item + " ab" * 100
+    assert index.bands(d.codes(whole)) and [(i, e) for i, _, _, e in d.regions(index, [whole])[0]] == [(0, 0)]
