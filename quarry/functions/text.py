@@ -28,10 +28,12 @@ def normal_lexical(text: Column) -> Column:
     """The lexical normal form: lower case, layout commands gone, fraction commands alike, text commands unwrapped, then
     runs of letters and runs of digits (so x2 is two tokens and the underscore goes)."""
     low = F.lower(text)
-    low = F.regexp_replace(low, r"\\(?:left|right|displaystyle|textstyle|scriptstyle|scriptscriptstyle|quad|qquad|enspace|thinspace)\b", " ")
-    low = F.regexp_replace(low, r"\\[,;! :]|\$", " ")
-    low = F.regexp_replace(low, r"\\(?:dfrac|tfrac)\b", r"\\frac")
-    low = F.regexp_replace(low, r"\\(?:mathrm|mathbf|mathit|text|textrm|operatorname)\s*\{([^{}]*)\}", " $1 ")
+    plain = F.regexp_replace(low, r"\\(?:left|right|displaystyle|textstyle|scriptstyle|scriptscriptstyle|quad|qquad|enspace|thinspace)\b", " ")
+    plain = F.regexp_replace(plain, r"\\[,;! :]|\$", " ")
+    plain = F.regexp_replace(plain, r"\\(?:dfrac|tfrac)\b", r"\\frac")
+    plain = F.regexp_replace(plain, r"\\(?:mathrm|mathbf|mathit|text|textrm|operatorname)\s*\{([^{}]*)\}", " $1 ")
+    # each command begins with a backslash, and a dollar sign alone parts runs as a space does
+    low = F.when(F.contains(text, F.lit("\\")), plain).otherwise(low)
     return F.array_join(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{Nl}\p{No}]+|\p{Nd}+)"), F.lit(1)), " ")
 
 

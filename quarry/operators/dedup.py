@@ -5,27 +5,41 @@ components of links are clusters. Equal normal forms are collapsed first, and n-
 Of two sets that reach the threshold t, each has one of its first n - ceil(t n) + 1 n-grams in common with the other's
 (the prefix filter, under one global order by frequency, so that frequent ones are keys only of sets that hold little else,
 and n-grams of one set alone, which come first, are only counted). At the first shared one, what can follow must be enough
-for t (the positional filter, which implies that lengths agree). Candidates are verified on all n-grams that they share, so
-every link is found and none is estimated.
+for t (the positional filter, which implies that lengths agree). Near copies meet at most of their keys, so sets are put in
+blocks of likely copies, a set is a candidate of a block once instead of its members many times, and it goes there once; each
+pair of them is then verified on all n-grams that it shares, so every link is found and none is estimated.
 
 Null texts count as empty; repeated rows are each other's duplicates; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions import text as T
 from quarry.operators.components import connected_components
-from quarry.session import cut, discard, release, ship
-
-#: N-grams that are shuffled together, about 24 bytes each; it bounds disk and changes no result.
-SLICE = 100_000_000
+from quarry.session import cut, default_parallelism, discard, release, ship
+
+#: N-grams that are shuffled together, about 14 bytes each; it bounds disk and changes no result.
+SLICE = 64_000_000
+#: Repeated rows that are broadcast, 8 bytes each; beyond that they go through a shuffle.
+FEW = 500_000
+#: Sets of a block, a power of two.
+BLOCK = 256
+#: N-grams of sets that are compared with a block at a time (one set at least).
+CHUNK = 200_000
+#: N-grams that so many sets of a block hold are counted by matrix products, WIDE of them at a time.
+DENSE, WIDE = 16, 4096
 #: A count of sets that tests go beyond.
 COMMON = 16
 #: What rounding may add to a bound.
@@ -48,55 +62,210 @@ def _forms(rows: DataFrame, n: int, normal) -> DataFrame:
     return own.select("id", F.sha2("normal", 256).alias("digest"), T.shingle_hashes(F.col("normal"), n).alias("grams"))
 
 
-def _held(sets: DataFrame) -> DataFrame:
-    """(id, size, held): of each set that has n-grams in common with others, those n-grams, rare ones first.
+def _numbered(forms: DataFrame) -> DataFrame:
+    return cut(forms.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _distinct(own: DataFrame) -> DataFrame:
+    """(id, size, grams) of the first row of each digest in what _numbered() wrote; only the rows that are not it move."""
+    rows = own.select("digest", "id", "row")
+    first = rows.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", F.col("first.row").alias("first"))
+    later = cut(rows.join(first, "digest").filter("row <> first").select("row"))
+    few = later.count() <= FEW
+    sets = own.join(F.broadcast(later) if few else later.hint("merge"), "row", "left_anti").select("id", F.size("grams").alias("size"), "grams")
+    return sets if few else cut(sets)
+
+
+def _most_alone(threshold: float) -> Column:
+    """How many n-grams a set with links can have alone."""
+    return F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - SLACK).cast("int")
 
-    All n-grams go through a shuffle to be counted and once more to find the holders of shared ones; that is done for SLICE
-    of them at a time, and what a slice shuffled is given back before the next, so disk does not grow with it."""
-    slices = max(1, -(-(sets.agg(F.sum("size")).first()[0] or 0) // SLICE))
+
+def _shared(sets: DataFrame, low: int, high: int) -> list[DataFrame]:
+    """(id, size, often, gram) of the n-grams from low to below high that several sets have, in tables of cut().
+
+    They go through one shuffle, in which they are counted; that is done for about SLICE of them at a time, each a range of
+    hashes, and what a slice shuffled is given back before the next, so disk does not grow with it."""
+    total = (sets.agg(F.sum("size")).first()[0] or 0) * (high - low) / 2**64
+    slices = max(1, math.ceil(total / SLICE))
+    bounds = [low + (high - low) * k // slices for k in range(slices + 1)]
     parts = []
-    for k in range(slices):
-        own = F.col("grams") if slices == 1 else F.filter("grams", lambda g: F.pmod(g, F.lit(slices)) == k)
-        each = sets.select("id", "size", F.explode(own).alias("gram"))
-        counted = cut(each.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
-        parts.append(cut(each.join(counted, "gram").select("id", "size", "often", "gram")))
-        discard(counted)
+    for one, after in zip(bounds, bounds[1:], strict=False):
+        each = sets.select("id", "size", F.explode("grams").alias("gram"))
+        if after - one < 2**64:
+            each = each.filter(F.col("gram").between(one, after - 1))
+        counted = each.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("gram")))
+        parts.append(cut(counted.filter("often > 1").select("id", "size", "often", "gram")))
         release(sets.sparkSession)
+    return parts
+
+
+def _hopeful(sets: DataFrame, parts: list[DataFrame], below: int, threshold: float) -> DataFrame:
+    """The sets that can still have links, as a table of cut(), once parts holds all that is shared below a hash: the others
+    have more n-grams alone there than a set with links has altogether."""
+    shared = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    seen = sets.select("id", "size", F.size(F.filter("grams", lambda g: g < F.lit(below))).alias("seen"))
+    stay = cut(seen.join(shared, "id", "left").filter(F.col("seen") - F.coalesce("shared", F.lit(0)) <= _most_alone(threshold)).select("id"))
+    chosen = F.broadcast(stay) if stay.count() <= FEW else stay.hint("merge")
+    out = cut(sets.join(chosen, "id", "left_semi"))
+    discard(stay)
+    return out
+
+
+def _held(sets: DataFrame, threshold: float | None = None) -> DataFrame:
+    """(id, size, held): of each set that has n-grams in common with others, those n-grams, rare ones first.
+
+    With a threshold, sets that can have no links may be left out, and do not count for others; most are known once a
+    little more than 1 - threshold of the hashes have been looked at, so the rest is looked up for few sets."""
+    low, high = -(2**63), 2**63
+    middle = high if threshold is None else min(high, low + int(2**64 * (1 - threshold) * 1.3))
+    parts = _shared(sets, low, middle)
+    if middle < high:
+        rest = _hopeful(sets, parts, middle, threshold)
+        parts += _shared(rest, middle, high)
     held = F.transform(F.sort_array(F.collect_list(F.struct("often", "gram"))), lambda x: x["gram"])
-    out = cut(reduce(DataFrame.unionByName, parts).groupBy("id", "size").agg(held.alias("held")))
-    discard(*parts)
+    own = reduce(DataFrame.unionByName, parts).groupBy("id", "size").agg(held.alias("held"))
+    out = cut(own if threshold is None else own.filter(F.col("size") - F.size("held") <= _most_alone(threshold)))
+    discard(*parts, *([rest] if middle < high else []))
     release(sets.sparkSession)
     return out
 
 
-def _prefixes(held: DataFrame, threshold: float) -> DataFrame:
+def _prefix(threshold: float) -> tuple[Column, Column]:
+    """How many n-grams a set of _held() has alone, and the shared ones among its first ones."""
+    keep = _most_alone(threshold) + 1
+    alone = F.col("size") - F.size("held")
+    return alone, F.slice("held", 1, F.greatest(F.least(keep - alone, F.size("held")), F.lit(0)))
+
+
+def _prefixes(held: DataFrame, threshold: float, *more: str) -> DataFrame:
     """(gram, id, size, at) of the shared n-grams among the first ones of each set. What a set alone has comes first in the
     order and is counted by number, since it is no key; most sets of an ordinary corpus have no key at all."""
-    keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - SLACK).cast("int") + 1
-    alone = F.col("size") - F.size("held")
-    prefix = F.slice("held", 1, F.greatest(F.least(keep - alone, F.size("held")), F.lit(0)))
-    return held.select("id", "size", alone.alias("alone"), F.posexplode(prefix).alias("at", "gram")).select("gram", "id", "size", (F.col("alone") + F.col("at")).alias("at"))
+    alone, prefix = _prefix(threshold)
+    return held.select("id", "size", *more, alone.alias("alone"), F.posexplode(prefix).alias("at", "gram")).select("gram", "id", "size", (F.col("alone") + F.col("at")).alias("at"), *more)
+
+
+def _blocks(held: DataFrame, threshold: float) -> DataFrame:
+    """(id, size, held, block) of the sets that have keys, up to BLOCK in a block. Sets are ordered by the least hash among
+    their keys, which near copies often have in common; any other order would give the same links."""
+    least = held.withColumn("least", F.array_min(_prefix(threshold)[1])).filter("least IS NOT NULL")
+    near = least.repartitionByRange("least", "id").sortWithinPartitions("least", "id").drop("least")
+    return cut(near.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1)))
+
+
+def _guests(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(id, block): sets that may link to one of a later block."""
+    keys = cut(_prefixes(blocks, threshold, "block"))
+    share = F.lit(threshold / (1 + threshold))
+    # at the first n-gram that sets of sizes n and m share, at places i and j, what can follow is n - i and m - j, and each
+    # must be share * (n + m) at least; of a block, the smallest m and the largest rest count
+    hosts = keys.groupBy("gram", F.col("block").alias("host")).agg(F.min("size").alias("least"), F.max(F.col("size") - F.col("at") - share * F.col("size")).alias("rest"))
+    enough = (F.col("size") - F.col("at") - share * F.col("size") >= share * F.col("least") - SLACK) & (F.col("rest") >= share * F.col("size") - SLACK)
+    out = cut(keys.join(hosts, "gram").filter((F.col("block") < F.col("host")) & enough).select("id", F.col("host").alias("block")).distinct())
+    discard(keys)
+    release(blocks.sparkSession)
+    return out
+
+
+class _Block:
+    """Sets of n-grams, looked up by n-gram."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, grams: np.ndarray):
+        self.ids, self.sizes = ids, sizes
+        order = np.argsort(grams, kind="stable")
+        self.holders = np.repeat(np.arange(len(ids)), lengths)[order]
+        self.grams, self.starts, self.often = np.unique(grams[order], return_index=True, return_counts=True)
+        dense = self.often >= DENSE
+        self.column = np.where(dense, np.cumsum(dense) - 1, -1)
+        self.columns = int(dense.sum())
+        self.own = np.repeat(self.column, self.often)
+
+    def shared(self, lengths: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """How many n-grams each of the given sets (rows) has in common with each of the block (columns)."""
+        n, width = len(lengths), len(self.ids)
+        of = np.repeat(np.arange(n), lengths)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        hit = self.grams[at] == grams
+        at, of = at[hit], of[hit]
+        column = self.column[at]
+        thin = column < 0
+        times, first = self.often[at[thin]], self.starts[at[thin]]
+        places = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        out = np.bincount(np.repeat(of[thin], times) * width + self.holders[places], minlength=n * width).reshape(n, width)
+        for low in range(0, self.columns, WIDE):
+            a, b = np.zeros((n, WIDE), np.float32), np.zeros((width, WIDE), np.float32)
+            here = (column >= low) & (column < low + WIDE)
+            a[of[here], column[here] - low] = 1
+            here = (self.own >= low) & (self.own < low + WIDE)
+            b[self.holders[here], self.own[here] - low] = 1
+            out += (a @ b.T).astype(np.int64)
+        return out
+
+
+def _verified(threshold: float, kind: pa.DataType):
+    """For mapInArrow: links (u, v, similarity) in each block and of its guests, from rows ordered by block, its own first."""
+    schema = pa.schema([("u", kind), ("v", kind), ("similarity", pa.float64())])
+
+    def compared(block: _Block, inside: bool, ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, grams: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.cumsum(lengths)
+        low = 0
+        while low < len(ids):
+            before = ends[low] - lengths[low]
+            high = min(max(low + 1, int(np.searchsorted(ends, before + CHUNK, "right"))), low + BLOCK)
+            both = block.shared(lengths[low:high], grams[before : ends[high - 1]])
+            similarity = both / (sizes[low:high, None] + block.sizes[None, :] - both)
+            wanted = ids[low:high, None] < block.ids[None, :] if inside else ids[low:high, None] != block.ids[None, :]
+            i, j = np.nonzero((similarity >= threshold) & wanted)
+            if len(i):
+                a, b = ids[low:high][i], block.ids[j]
+                yield pa.record_batch([pa.array(np.minimum(a, b), kind), pa.array(np.maximum(a, b), kind), pa.array(similarity[i, j])], schema=schema)
+            low = high
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, members, now = None, [], None
+        for batch in batches:
+            names, guest, ids, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "guest", "id", "size"))
+            held = batch.column("held")
+            lengths, grams = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), held.flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            edges = [0, *(np.nonzero((names[1:] != names[:-1]) | (guest[1:] != guest[:-1]))[0] + 1), len(names)]
+            for low, high in zip(edges, edges[1:], strict=False):
+                if low == high:
+                    continue
+                part = ids[low:high], sizes[low:high].astype(np.int64), lengths[low:high], grams[ends[low] : ends[high]]
+                if members and (guest[low] or names[low] != now):
+                    whole = [np.concatenate(x) for x in zip(*members, strict=True)]
+                    block, members = _Block(*whole), []
+                    yield from compared(block, True, *whole)
+                now = names[low]
+                if guest[low]:
+                    yield from compared(block, False, *part)
+                else:
+                    members.append(part)
+        if members:
+            whole = [np.concatenate(x) for x in zip(*members, strict=True)]
+            yield from compared(_Block(*whole), True, *whole)
+
+    return run
 
 
 def _links(forms: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, similarity) for the distinct forms of _forms()."""
-    sets = cut(forms.groupBy("digest").agg(F.min_by("grams", "id").alias("grams"), F.min("id").alias("id")).select("id", F.size("grams").alias("size"), "grams"))
-    release(sets.sparkSession)
-    held = _held(sets)
+    """(u, v, similarity) for the distinct forms of _forms(), which may have gone through _numbered()."""
+    own = forms if "row" in forms.columns else _numbered(forms)
+    sets = _distinct(own)
+    held = _held(sets, threshold)
     discard(sets)
-    keys = cut(_prefixes(held, threshold))
-    a = keys.select("gram", F.col("id").alias("u"), F.col("size").alias("nu"), F.col("at").alias("i"))
-    b = keys.select("gram", F.col("id").alias("v"), F.col("size").alias("nv"), F.col("at").alias("j"))
-    # at the first n-gram that two sets share, no more than the rest of the shorter one can follow
-    possible = F.least(F.col("nu") - F.col("i"), F.col("nv") - F.col("j"))
-    wanted = F.lit(threshold / (1 + threshold)) * (F.col("nu") + F.col("nv")) - SLACK
-    candidates = cut(a.join(b, "gram").filter((F.col("u") < F.col("v")) & (possible >= wanted)).select("u", "v").distinct())
-    discard(keys)
-    release(held.sparkSession)
-    left, right = (held.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("held").alias(f"g{x}")) for x in "uv")
-    both = F.size(F.array_intersect("gu", "gv"))
-    told = candidates.join(left, "u").join(right, "v").select("u", "v", (F.col("nu") + F.col("nv")).alias("sizes"), both.alias("both"))
-    return told.select("u", "v", (F.col("both") / (F.col("sizes") - F.col("both"))).alias("similarity")).filter(F.col("similarity") >= threshold)
+    if own is not forms:
+        discard(own)
+    blocks = _blocks(held, threshold)
+    discard(held)
+    guests = _guests(blocks, threshold)
+    each = ["block", "guest", "id", "size", "held"]
+    hosts = blocks.withColumn("guest", F.lit(False)).select(each)
+    both = hosts.unionByName(guests.join(blocks.drop("block"), "id").withColumn("guest", F.lit(True)).select(each))
+    kind = blocks.schema["id"].dataType
+    dealt = both.repartition(default_parallelism(blocks.sparkSession), "block").sortWithinPartitions("block", "guest")
+    return dealt.mapInArrow(_verified(threshold, to_arrow_type(kind)), f"u {kind.simpleString()}, v {kind.simpleString()}, similarity double")
 
 
 def near_links(rows: DataFrame, n: int = 5, threshold: float = 0.8, normal=T.normal_lexical) -> DataFrame:
@@ -106,7 +275,7 @@ def near_links(rows: DataFrame, n: int = 5, threshold: float = 0.8, normal=T.nor
 
 def near_clusters(rows: DataFrame, n: int = 5, threshold: float = 0.8, normal=T.normal_lexical) -> DataFrame:
     """id, root: every row with the smallest id of its cluster, exact duplicates included."""
-    forms = cut(_forms(rows, n, normal))
+    forms = _numbered(_forms(rows, n, normal))
     firsts = forms.groupBy("digest").agg(F.min("id").alias("node"))
     linked = connected_components(_links(forms, threshold))
     return forms.select("id", "digest").join(firsts, "digest").join(linked, "node", "left").select("id", F.coalesce("component", "node").alias("root"))

@@ -297,3 +297,31 @@ def test_near_links_in_slices_move_shared_ngrams_only(spark, monkeypatch):
     assert {(r.id, r.size, len(r.held)) for r in held.collect()} == {(k + d, 16, 14) for k in range(3) for d in (0, 10)}
     keys = dedup._prefixes(held, 0.5).collect()
     assert {r.id for r in keys} == {0, 1, 2, 10, 11, 12} and {r["at"] for r in keys} == set(range(2, 9))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_links_send_a_set_to_a_block_once(spark, monkeypatch, kind):
+    """A family of near copies makes a row for a set and a block, not for each pair, and loses no link; also where blocks and
+    chunks are small, a row is repeated, ids are text, and the sets without links are left out halfway."""
+    for name, value in {"SLICE": 4000, "BLOCK": 16, "CHUNK": 300, "DENSE": 3, "WIDE": 32}.items():
+        monkeypatch.setattr(dedup, name, value)
+    letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    base = [f"w{letters(k)}" for k in range(60)]
+    texts = [" ".join(base[:k] + [f"x{letters(k)}"] + base[k + 1 :]) for k in range(60)]  # one word differs
+    texts += [" ".join(base[:k] + [f"y{letters(j)}z{letters(k)}" for j in range(60 - k)]) for k in range(20, 60)]  # all from k on
+    texts += [" ".join(f"v{letters(k)}u{letters(j)}" for j in range(40)) for k in range(80)]  # no copies
+    ids = [k if kind == "long" else f"d{k:03d}" for k in range(len(texts))]
+    rows = frame(spark, [*zip(ids, texts, strict=True), (ids[3], texts[3]), (ids[179], texts[3])], f"id {kind}, text string")
+    sets = [(i, {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}) for i, t in zip(ids, texts, strict=True)]
+    for threshold in (0.5, 0.8):
+        want = {(u, v): len(a & b) / len(a | b) for n, (u, a) in enumerate(sets) for v, b in sets[n + 1 :] if len(a & b) / len(a | b) >= threshold}
+        found = dedup.near_links(rows.filter(~((F.col("id") == ids[179]) & (F.col("text") == texts[3]))), 5, threshold)
+        got = [(r.u, r.v, r.similarity) for r in found.collect()]
+        assert len(got) == len(want) > 300 and {(u, v): s for u, v, s in got} == want
+        own = dedup._numbered(dedup._forms(rows, 5, T.normal_lexical))
+        held = dedup._held(dedup._distinct(own), threshold)
+        assert {r.id for r in held.collect()} <= set(ids[:100])
+        blocks = dedup._blocks(held, threshold)
+        n = blocks.select("block").distinct().count()
+        assert blocks.groupBy("block").count().filter(f"count > {dedup.BLOCK}").count() == 0
+        assert dedup._guests(blocks, threshold).count() <= 100 * (n - 1) and n < 40
